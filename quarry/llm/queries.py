@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality_rules
+from quarry.llm import quality_rules, toxicity, training
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,19 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.trained(docs, _table(spark, sf_dir, "labels"), "toxic", folds=3, held_out=1)
+    return _judged(toxicity.scored(docs, model), 3, 1)
+
+
+def _judged(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
+    return scored.select("doc_id", (training.fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repetition_coverage": op2_repetition_coverage,
+    "op6_weak_supervision": op6_weak_supervision,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -42,13 +42,29 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def lowered(data: np.ndarray, latin: bool = True) -> np.ndarray:
+    """Lower case of A-Z, and of the letters U+00C0 to U+00DE if ``latin``."""
+    out = _LOWER[data]
+    if latin and len(out) > 1:
+        second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        out[second] += 0x20
+    return out
+
+
 class Texts:
-    """A run of texts: bytes, offsets, and words found on first use."""
+    """A run of texts: bytes, offsets, and where their words are (``inside``: bytes of words)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _WORD):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
         self._prefix: np.ndarray | None = None
-        word = _WORD[data]
+        self._at: np.ndarray | None = None  # of characters
+        word = inside[data]
         first, last = word.copy(), word.copy()
         if len(word):
             first[1:] &= ~word[:-1]
@@ -69,6 +85,22 @@ class Texts:
             np.cumsum(_BYTE_CODES[self.data] * power[: len(self.data)], out=self._prefix[1:])
         return mixed((self._prefix[ends] - self._prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
+    def letters(self) -> Texts:
+        """The same texts in lower case, with runs of letters as words."""
+        return Texts(lowered(self.data), self.offsets, _LETTER)
+
+    def affixes(self, width: int, end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(words that are longer than ``width`` characters, hashes of their first or last ``width``)."""
+        if self._at is None:
+            lead = (self.data & 0xC0) != 0x80
+            self._at = np.append(np.flatnonzero(lead), len(self.data))
+            before = np.concatenate([[0], np.cumsum(lead)])
+            self._from, self._to = before[self.starts], before[self.ends]
+        long = np.flatnonzero(self._to - self._from > width)
+        if end:
+            return long, self.hashes(self._at[self._to[long] - width], self.ends[long])
+        return long, self.hashes(self.starts[long], self._at[self._from[long] + width])
+
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)
 
