@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import quality_rules, shared
+from quarry.llm import quality_rules, shared, toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,6 +16,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("quality rules", quality_rules_stage),
 ]
 
