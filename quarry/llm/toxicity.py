@@ -220,7 +220,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
         parts = [model.scores(t, table) for _, _, t in scan.texts_of(batch.column(at))]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts))], [*docs.columns, score])
 
-    return over_batches(docs, work, StructType(docs.schema.fields).add(score, "double"))
+    return over_batches(docs, work, StructType([*docs.schema.fields]).add(score, "double"))
 
 
 def clean_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
