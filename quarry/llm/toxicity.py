@@ -213,12 +213,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
     is already named ``score`` is replaced.
     """
     docs = docs.select(*[docs[c] for c in docs.columns if c.lower() != score.lower()])
-    at = docs.columns.index(text)
+    at, names = docs.columns.index(text), [*docs.columns, score]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = _table(model.codes)
         parts = [model.scores(t, table) for _, _, t in scan.texts_of(batch.column(at))]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts))], [*docs.columns, score])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts))], names)
 
     return over_batches(docs, work, StructType([*docs.schema.fields]).add(score, "double"))
 
