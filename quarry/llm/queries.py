@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality_rules, toxicity, training
+from quarry.llm import quality_model, quality_rules, toxicity, training
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.trained(docs, _table(spark, sf_dir, "labels"), "quality", folds=4, held_out=2)
+    return _judged(quality_model.scored(docs, model), 4, 2)
+
+
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.trained(docs, _table(spark, sf_dir, "labels"), "toxic", folds=3, held_out=1)
@@ -30,6 +36,7 @@ def _judged(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repetition_coverage": op2_repetition_coverage,
+    "op4_factorisation_machine": op4_factorisation_machine,
     "op6_weak_supervision": op6_weak_supervision,
 }
 

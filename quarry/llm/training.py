@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of any classifier's training sample: rows, and bytes of text.
-SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 64 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 32 << 20
 
 
 def fold(doc_id: str, folds: int) -> Column:
