@@ -24,7 +24,7 @@ THRESHOLD = 0.7
 PREFIXES = (3, 4, 5, 6)
 #: A voter fires in so many toxic sample texts (and such a share of them) at least, and is
 #: so many times likelier there than in others.
-MIN_SUPPORT, MIN_SHARE, MIN_LIFT = 4, 0.006, 60.0
+MIN_SUPPORT, MIN_SHARE, MIN_LIFT = 4, 0.01, 60.0
 MAX_VOTERS, MAX_FEATURES = 384, 512
 _TABLE_BITS = 22
 
@@ -123,8 +123,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums + shapes @ self.weights[len(self.codes) :], -40, 40)))
 
 
-def _features(t: scan.Texts) -> np.ndarray:
-    """Distinct (text, hash) pairs as a structured sort would give them: one array each."""
+def _features(t: scan.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, hash) pairs of words and beginnings of words, one array each."""
     t = t.letters()
     docs, codes = [], []
     for width in (0, *PREFIXES):
@@ -144,20 +144,23 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
 
     Copies of a text count once, else words of a text that is often copied would pass for voters.
     """
-    _, first = np.unique(np.array([hash(x) for x in texts.fill_null("").to_pylist()], np.int64), return_index=True)
+    whole = [t.hashes(t.offsets[:-1], t.offsets[1:]) for _, _, t in scan.texts_of(texts)]
+    first = np.sort(np.unique(np.concatenate([np.zeros(0, np.uint64), *whole]), return_index=True)[1])
     texts, labels = texts.take(pa.array(first)), labels[first]
-    docs, codes, chunks = [], [], []
-    for i, _, t in scan.texts_of(texts, 8 << 20):
-        doc, code = _features(t)
-        docs.append(doc + i)
-        codes.append(code)
-        chunks.append((i, t))
     n = len(labels)
-    none = Model(np.zeros(0, np.uint64), np.zeros(SHAPES), -5.0, 0)
     if not n or labels.min() == labels.max():
-        return none
-    doc, code = np.concatenate(docs), np.concatenate(codes)
-    names, at = np.unique(code, return_inverse=True)
+        return Model(np.zeros(0, np.uint64), np.zeros(SHAPES), -5.0, 0)
+    # only what occurs often enough in toxic texts is looked for in all
+    likely, counts = np.unique(np.concatenate([_features(t)[1] for _, _, t in scan.texts_of(texts.filter(pa.array(labels == 1)))]), return_counts=True)
+    names = likely[counts >= MIN_SUPPORT]
+    docs, found = [], []
+    for i, _, t in scan.texts_of(texts):
+        doc, code = _features(t)
+        near = np.minimum(np.searchsorted(names, code), max(len(names) - 1, 0))
+        on = names[near] == code if len(names) else np.zeros(len(code), bool)
+        docs.append(doc[on] + i)
+        found.append(near[on])
+    doc, at = np.concatenate(docs), np.concatenate(found)
     toxic = np.bincount(at, labels[doc], len(names))
     clean = np.bincount(at, 1 - labels[doc], len(names))
     lift = (toxic + 0.5) / (labels.sum() + 1) / ((clean + 0.5) / (n - labels.sum() + 1))
@@ -173,7 +176,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     votes = np.zeros((n, len(strong) + SHAPES), bool)
     votes[doc[on], mine[at[on]]] = True
     hits = votes.sum(1)
-    for i, t in chunks:
+    for i, _, t in scan.texts_of(texts):
         votes[i : i + t.n, len(strong) :] = _shapes(t, hits[i : i + t.n])
     for k in range(len(strong), votes.shape[1]):  # a shape votes if it lifts as much as a word must
         on_toxic, on_clean = labels @ votes[:, k], (1 - labels) @ votes[:, k]
