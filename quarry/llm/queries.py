@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality_model, quality_rules, toxicity, training
+from quarry.llm import mixing, packing, quality_model, quality_rules, toxicity, training
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_poisson_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
@@ -30,14 +40,22 @@ def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.scored(docs, model), 3, 1)
 
 
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
 def _judged(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
     return scored.select("doc_id", (training.fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_poisson_replication": op1_poisson_replication,
     "op2_repetition_coverage": op2_repetition_coverage,
     "op4_factorisation_machine": op4_factorisation_machine,
     "op6_weak_supervision": op6_weak_supervision,
+    "op7_best_two_fit": op7_best_two_fit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_poisson_replication": mixing.SQL,
+}
