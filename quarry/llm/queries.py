@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, quality_model, quality_rules, toxicity, training
+from quarry.llm import mixing, packing, quality_model, quality_rules, toxicity, training, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
 
 
+def op8_sequential_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _judged(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
     return scored.select("doc_id", (training.fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -54,8 +59,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_factorisation_machine": op4_factorisation_machine,
     "op6_weak_supervision": op6_weak_supervision,
     "op7_best_two_fit": op7_best_two_fit,
+    "op8_sequential_warc": op8_sequential_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_poisson_replication": mixing.SQL,
+    "op8_sequential_warc": warc.SQL,
 }
