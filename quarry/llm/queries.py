@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, quality_model, quality_rules, toxicity, training, warc
+from quarry.llm import embedding_dedup, mixing, packing, quality_model, quality_rules, toxicity, training, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality_model.scored(docs, model), 4, 2)
 
 
+def op5_p_stable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.deduplicated(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.trained(docs, _table(spark, sf_dir, "labels"), "toxic", folds=3, held_out=1)
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_replication": op1_poisson_replication,
     "op2_repetition_coverage": op2_repetition_coverage,
     "op4_factorisation_machine": op4_factorisation_machine,
+    "op5_p_stable_hashing": op5_p_stable_hashing,
     "op6_weak_supervision": op6_weak_supervision,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_sequential_warc": op8_sequential_warc,
@@ -64,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_poisson_replication": mixing.SQL,
+    "op5_p_stable_hashing": embedding_dedup.SQL,
     "op8_sequential_warc": warc.SQL,
 }
