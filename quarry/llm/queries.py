@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import embedding_dedup, mixing, packing, quality_model, quality_rules, toxicity, training, warc
+from quarry.llm import embedding_dedup, mixing, near_dedup, packing, quality_model, quality_rules, toxicity, training, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op8_sequential_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.grouped(_table(spark, sf_dir, "documents"))
+
+
 def _judged(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
     return scored.select("doc_id", (training.fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_weak_supervision": op6_weak_supervision,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_sequential_warc": op8_sequential_warc,
+    "op9_bagminhash": op9_bagminhash,
 }
 
 ORACLE_SQL: dict[str, str] = {

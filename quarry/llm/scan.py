@@ -42,6 +42,11 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd base modulo 2**64."""
+    return _power_tables(n)[0][:n]
+
+
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
