@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import quality_rules, shared, toxicity
+from quarry.llm import mixing, near_dedup, packing, quality_rules, queries, shared, toxicity
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,9 +15,24 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_rules.kept_rows(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.kept_rows(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs.select("doc_id", "text"), queries.tokenizer_file())
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
     ("quality rules", quality_rules_stage),
+    ("minhash near-dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 #: Trained models and numpy hashing decide the rows, which SQL can't express.
