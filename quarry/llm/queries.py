@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import embedding_dedup, mixing, near_dedup, packing, quality_model, quality_rules, toxicity, training, warc
+from quarry.llm import embedding_dedup, language, mixing, near_dedup, packing, quality_model, quality_rules, toxicity, training, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def op3_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identified(docs.select("doc_id", "text"), language.trained(docs, folds=5, held_out=0))
+    return found.select("doc_id", (training.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.trained(docs, _table(spark, sf_dir, "labels"), "quality", folds=4, held_out=2)
@@ -64,6 +70,7 @@ def _judged(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_replication": op1_poisson_replication,
     "op2_repetition_coverage": op2_repetition_coverage,
+    "op3_chain_crf": op3_chain_crf,
     "op4_factorisation_machine": op4_factorisation_machine,
     "op5_p_stable_hashing": op5_p_stable_hashing,
     "op6_weak_supervision": op6_weak_supervision,

@@ -49,6 +49,7 @@ def powers(n: int) -> np.ndarray:
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+ASCII_LETTER = _LETTER & (np.arange(256) < 0x80)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
