@@ -150,11 +150,11 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     # several bands often have the same members: one bucket of them is enough
     chosen = stored(buckets.groupBy("members", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "members"), "near-buckets")
     blocks = F.ceil(F.col("members") / tile).cast("int")
-    inside = keyed.join(chosen, ["band", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    inside = keyed.join(chosen.hint("merge"), ["band", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
     spread = stored(inside.withColumn("other", F.explode(other)).select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id"), "near-tiles")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    wanted = texts.join(spread.select("id").distinct(), "id", "left_semi")
+    wanted = texts.join(spread.select("id").distinct().hint("merge"), "id", "left_semi")  # ids grow with the documents: no size to broadcast
     tile_key = ["band", "key", "i", "j"]
     tiles = spread.join(wanted, "id").select(*tile_key, "id", "text").repartition(*tile_key).sortWithinPartitions(*tile_key)
     reached = components(edges(tiles, threshold, width), "near")
