@@ -251,7 +251,7 @@ def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    paths = archives.select("path").repartition("path")
+    paths = archives.select("path").repartition(max(1, archives.count()), "path")  # a fixed number: rows this small would else end up in one task
     return paths.mapInArrow(run, RECORD if with_payload else RECORD.removesuffix(", payload binary"))
 
 
