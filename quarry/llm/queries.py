@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import embedding_dedup, language, mixing, near_dedup, packing, quality_model, quality_rules, toxicity, training, warc
+from quarry.llm import embedding_dedup, language, lm_scoring, mixing, near_dedup, packing, quality_model, quality_rules, toxicity, training, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,13 @@ def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.grouped(_table(spark, sf_dir, "documents"))
 
 
+def op10_causal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = training.fold("doc_id", 7) == 2
+    scored = lm_scoring.scored(docs, ~held_out, tokenizer_file())
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def _judged(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
     return scored.select("doc_id", (training.fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_two_fit": op7_best_two_fit,
     "op8_sequential_warc": op8_sequential_warc,
     "op9_bagminhash": op9_bagminhash,
+    "op10_causal_attention": op10_causal_attention,
 }
 
 ORACLE_SQL: dict[str, str] = {
