@@ -563,7 +563,8 @@ class _Reader:
                 self.take("]")
                 name = None
             else:
-                self.at, name = close, inside
+                literal = re.fullmatch(r"""\[\s*(["'])(.*)\1\s*\]""", inside, re.DOTALL)
+                self.at, name = close, literal[2] if literal else inside
         elif self.peek() in ("(", "<"):
             name = None
         elif self.peek() == "new" and self.peek(1) in ("(", "<"):
@@ -655,6 +656,11 @@ class _File(_Reader):
         return e
 
     def statement(self) -> list[Export]:
+        while self.peek() == "@":  # decorators of a class
+            self.take()
+            self.dotted()
+            if self.peek() == "(":
+                self.at = self.match(self.at)
         begin = self.start
         if self.maybe(";"):
             return []
