@@ -286,7 +286,9 @@ def trained(docs: DataFrame, folds: int = 5, held_out: int = 0, rows: int = SAMP
     in_fold = training.fold("doc_id", folds) != held_out
     langs = docs.where("lang IS NOT NULL").select("doc_id", "lang")
     got = training.sample(docs.where("lang IS NOT NULL").select("doc_id", "text"), langs, "lang", in_fold, rows, text_bytes)
-    return fit(got["text"].combine_chunks(), got["lang"].to_pylist())
+    model = fit(got["text"].combine_chunks(), got["lang"].to_pylist())
+    training.released()
+    return model
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

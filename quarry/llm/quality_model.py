@@ -160,7 +160,9 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1
 def trained(docs: DataFrame, labels: DataFrame, target: str = "quality", folds: int = 4, held_out: int = 2, rows: int = training.SAMPLE_ROWS) -> Model:
     """A model from at most ``rows`` labelled rows outside of the held-out fold."""
     got = training.sample(docs, labels, target, training.fold("doc_id", folds) != held_out, rows)
-    return fit(got["text"].combine_chunks(), (got[target].to_numpy() == 1).astype(np.float32))
+    model = fit(got["text"].combine_chunks(), (got[target].to_numpy() == 1).astype(np.float32))
+    training.released()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:

@@ -33,8 +33,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def tuned(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and bytes, so that very long texts stay in memory bounds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str) -> DataFrame:

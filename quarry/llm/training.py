@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of any classifier's training sample: rows, and bytes of text.
-SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 32 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 20 << 20
 
 
 def fold(doc_id: str, folds: int) -> Column:
@@ -15,6 +17,14 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds, F.lit(0))
 
 
+def released() -> None:
+    """Gives memory that a fit has used back to the system: the driver has other stages to run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sample(docs: DataFrame, labels: DataFrame, target: str, in_fold: Column, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> pa.Table:
     """At most ``rows`` labelled rows (``text``, ``target``) on the driver, ``text_bytes`` long in all.
 
