@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def group_stats(df: DataFrame, keys: Sequence[str], value: str, success: Column, averages: Sequence[str] = ()) -> DataFrame:
     """Count, success rate, nearest-rank p50 and p90, 95 % interval and averages of each group."""
     n, mean = F.count("*"), F.avg(value)
-    margin = 1.96 * F.coalesce(F.stddev_pop(value), F.lit(0.0)) / F.sqrt(F.count(value))
+    margin = 1.96 * F.coalesce(F.stddev_pop(value), F.lit(0.0)) / F.sqrt(F.nullif(F.count(value), F.lit(0)))
     exact = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)")
     return df.groupBy(*keys).agg(
         n.alias("n"), F.avg(success.cast("double")).alias("success_rate"), exact(0.5).alias("p50"), exact(0.9).alias("p90"),

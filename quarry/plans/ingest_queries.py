@@ -204,3 +204,35 @@ def q_symbols_command(s, d):
     c, packages, rows = _catalog(s, d)
     c.save(packages, rows.withColumn("is_internal", F.lit(False)), "k")
     return api.symbol(c, "red plate").select("name", "package", "version")
+
+
+# --- evaluation (X28, F21, A17, A18) ------------------------------------------------------
+
+
+@query("x28_first_object", "SELECT event_id, props AS body FROM events")
+def x28_first_object(s, d):
+    from quarry.operators import evaluation
+
+    return T(s, d, "events").select("event_id", evaluation.first_object_of(F.concat(F.lit("answer: "), "props", F.lit(" } {"))).alias("body"))
+
+
+@query("f21_json_contract", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['k_text'] ELSE ['valid_json'] END AS faults FROM events")
+def f21_json_contract(s, d):
+    from quarry.operators import evaluation
+
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("says "), "props")).otherwise("nothing")
+    return T(s, d, "events").select("event_id", evaluation.contract_faults(text, ["k_text"], []).alias("faults"))
+
+
+@query(
+    "pairwise_summary",
+    """WITH p AS (SELECT user_id, min(CASE WHEN event_type = 'view' THEN value END) AS b, min(CASE WHEN event_type = 'purchase' THEN value END) AS t FROM events GROUP BY 1)
+       SELECT count(*) AS attempted, count(*) FILTER (b < 50) AS completed, count(*) FILTER (t > b AND b < 50) AS correctness_treatment, count(*) FILTER (t < b AND b < 50) AS correctness_baseline FROM p WHERE b IS NOT NULL AND t IS NOT NULL""",
+)
+def pairwise_summary(s, d):
+    from quarry.operators import evaluation, stats
+
+    pairs = stats.paired(T(s, d, "events"), ["user_id"], "event_type", "view", "purchase", "value")
+    named = {"task_id": F.col("user_id").cast("string"), "status": F.when(F.col("baseline") < 50, "completed").otherwise("skipped"), "baseline_correctness": F.col("baseline"), "treatment_correctness": F.col("treatment")}
+    judgments = pairs.select(*[named.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(evaluation.JUDGMENT)])
+    return evaluation.pairwise_summary(judgments).select("attempted", "completed", "correctness_treatment", "correctness_baseline")

@@ -187,7 +187,7 @@ def scope_components(s, d):
 
 @query(
     "merge_scopes",
-    """WITH RECURSIVE f AS (SELECT s_suppkey AS path, s_suppkey % 2 = 0 AS m FROM supplier), e AS (SELECT s_suppkey AS a, s_nationkey AS b FROM supplier WHERE s_suppkey % 2 = s_nationkey % 2), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    """WITH RECURSIVE f AS (SELECT s_suppkey AS path, s_suppkey % 2 = 0 AS m FROM supplier), e AS (SELECT s_suppkey AS a, s_nationkey AS b FROM supplier WHERE s_suppkey % 2 = s_nationkey % 2 AND s_nationkey IN (SELECT path FROM f)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     reach AS (SELECT path AS id, path AS node FROM f UNION SELECT r.id, u.b FROM reach r JOIN u ON u.a = r.node), c AS (SELECT id, min(node) AS rep, count(*) AS n FROM reach GROUP BY 1)
     SELECT path, CASE WHEN NOT m THEN 's:' WHEN n > 1 THEN 'mcc:' ELSE 'm:' END || rep AS scope FROM f JOIN c ON c.id = f.path""",
 )
