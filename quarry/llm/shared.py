@@ -1,40 +1,21 @@
-"""Shared-folder tables, Arrow batch iteration and connected components."""
+"""Arrow batches of bounded size; tables in the shared folder and components come from the library."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-LOCAL_SHARED = "file:/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (single-machine tests) a local one is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or LOCAL_SHARED).rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut and
-    a lost executor costs nothing that was already written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quarry.operators.iterate import components, shared_dir, stored
 
+__all__ = ["components", "over_batches", "shared_dir", "stored", "tuned"]
 
 def tuned(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and bytes, so that very long texts stay in memory bounds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str) -> DataFrame:
@@ -48,35 +29,3 @@ def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch]
 
     return df.mapInArrow(run, schema)
 
-
-def _starred(edges: DataFrame, smaller: bool) -> DataFrame:
-    """One star step on edges (u, v): each node's chosen neighbours are re-hung on the least of them."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if smaller:
-        both = both.where("v < u")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-    joined = both.join(least, both.u == least.n)
-    moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if smaller:
-        moved = moved.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
-    else:
-        moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        moved = moved.unionByName(joined.where("v < u").select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def components(edges: DataFrame, label: str) -> DataFrame:
-    """Connected components of ``edges`` (u, v bigint) as (id, component), the least id reachable.
-
-    Alternating large-star and small-star steps; each round is written to the
-    shared folder. Only a count and a checksum of a round reach the driver.
-    Nodes without an edge to another node are absent; repeated edges and loops do no harm.
-    """
-    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{label}-edges")
-    mark = None
-    while True:
-        now = stored(_starred(_starred(now, smaller=False), smaller=True), f"{label}-stars")
-        got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(got) == mark:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
-        mark = tuple(got)
