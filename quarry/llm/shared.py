@@ -12,6 +12,7 @@ from quarry.operators.iterate import components, shared_dir, stored
 
 __all__ = ["components", "over_batches", "shared_dir", "stored", "tuned"]
 
+
 def tuned(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and bytes, so that very long texts stay in memory bounds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
@@ -28,4 +29,3 @@ def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch]
                 yield work(batch)
 
     return df.mapInArrow(run, schema)
-

@@ -61,6 +61,8 @@ def _shapes(t: scan.Texts, lexicon_hits: np.ndarray) -> np.ndarray:
 
 
 SHAPES = 3
+#: Times that each voter's vote alone counts among the classifier's training texts.
+ALONE = 3
 #: Residual correlation from which two voters count as dependent.
 DEPENDENT = 0.5
 
@@ -95,7 +97,7 @@ def label_model(votes: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.nda
     return posterior, rates, weight
 
 
-def _linear(x: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
+def _linear(x: np.ndarray, y: np.ndarray, steps: int = 800) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Adam, lightly shrunk."""
     w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
     m = np.zeros(len(w) + 1, np.float32)
@@ -182,7 +184,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         on_toxic, on_clean = labels @ votes[:, k], (1 - labels) @ votes[:, k]
         if (on_toxic + 0.5) / (labels.sum() + 1) < MIN_LIFT * (on_clean + 0.5) / (n - labels.sum() + 1):
             votes[:, k] = False
-    posterior, _, _ = label_model(votes)
+    posterior, rates, weight = label_model(votes)
 
     # further words that the posterior speaks for or against
     mass = np.bincount(at, posterior[doc], len(names))
@@ -198,8 +200,14 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     on = mine[at] >= 0
     x = np.zeros((n, len(chosen) + SHAPES), np.float32)
     x[doc[on], mine[at[on]]] = 1
-    x[:, len(chosen) :] = votes[:, len(strong) :]
-    weights, bias = _linear(x, posterior.astype(np.float32))
+    x[:, len(chosen) + 1 :] = votes[:, len(strong) + 1 :]  # not "two hits": one word must do where there is one
+    # what the label model says of a text with one vote alone, for words that mostly come together
+    prior = (posterior.sum() + 1) / (n + 2)
+    odds = (np.log(prior / (1 - prior)) + weight * np.log(rates[1] / rates[0]))[: len(strong)]
+    alone = np.eye(len(strong), x.shape[1], dtype=np.float32)
+    x = np.concatenate([x, *[alone] * ALONE])
+    y = np.concatenate([posterior, *[1 / (1 + np.exp(-odds))] * ALONE])
+    weights, bias = _linear(x, y.astype(np.float32))
     return Model(names[chosen], weights, bias, len(strong))
 
 
