@@ -1,14 +1,16 @@
-"""Full-text search on an inverted index: parsing, matching and BM25, all as joins.
+"""Full-text search: parsing, matching and BM25.
 
-``build`` makes two tables: ``postings`` (term, id, col, positions) and ``lengths``
-(id, len). Write them sorted by term and a query reads only its terms' rows.
+On an inverted index all is joins: ``build`` makes two tables, ``postings`` (term, id, col,
+positions) and ``lengths`` (id, len); write them sorted by term and a query reads only its
+terms' rows. Without one, ``Scan`` answers a single query in one pass over the texts, as
+expressions on arrays of terms: nothing is shuffled but a sum for each phrase.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,8 +28,14 @@ def _folds() -> tuple[str, str]:
 
 
 def folded(c: Column) -> Column:
-    """Lower case without accents on Latin letters."""
-    return F.translate(F.lower(c), *_folds())
+    """Lower case without accents on Latin letters; plain texts are spared the table."""
+    low = F.lower(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(low, *_folds())).otherwise(low)
+
+
+def tokens_of(c: Column) -> Column:
+    """The terms of a text, in order; none of null."""
+    return F.regexp_extract_all(folded(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
 def terms_of(text: str) -> list[str]:
@@ -45,8 +53,7 @@ def build(df: DataFrame, row_id: str, columns: Sequence[str]) -> Index:
     """The index of text ``columns``; null texts have no terms (K4)."""
     parts = []
     for name in columns:
-        tokens = F.regexp_extract_all(folded(F.coalesce(F.col(name), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
-        parts.append(df.select(F.col(row_id).alias("id"), F.lit(name).alias("col"), tokens.alias("tokens")))
+        parts.append(df.select(F.col(row_id).alias("id"), F.lit(name).alias("col"), tokens_of(F.col(name)).alias("tokens")))
     tokens = reduce(DataFrame.unionByName, parts)
     lengths = tokens.groupBy("id").agg(F.sum(F.size("tokens")).alias("len"))
     # positions of a term are gathered within one row: no group crosses rows
@@ -280,6 +287,100 @@ def scores(index: Index, tree: object) -> DataFrame:
     return hits.groupBy("id").agg((-F.sum(part)).alias("score"))
 
 
+class Scan:
+    """One query over un-indexed texts: the text ``columns`` of ``df``, each row on its own.
+
+    A row's terms are made once and bound to a lambda variable; as columns they would be
+    inlined wherever they are used, and made again for each place of a phrase.
+    """
+
+    def __init__(self, df: DataFrame, columns: Sequence[str]):
+        self.columns, self.rows = list(columns), df
+
+    def _bound(self, f: Callable[[Column], Column]) -> Column:
+        terms = F.struct(*[tokens_of(F.col(c)).alias(c) for c in self.columns])
+        return F.get(F.transform(F.array(terms), f), F.lit(0))
+
+    def _terms(self, p: Phrase, row: Column) -> list[Column]:
+        return [row[c] for c in ([p.column] if p.column else self.columns)]
+
+    @staticmethod
+    def _fits(p: Phrase, k: int) -> Callable[[Column], Column]:
+        return (lambda t: t.startswith(p.terms[k])) if p.prefix and k == len(p.terms) - 1 else (lambda t: t == p.terms[k])
+
+    def _starts(self, p: Phrase, terms: Column) -> Column:
+        """Places where a phrase begins."""
+        places = F.sequence(F.lit(0), F.size(terms) - len(p.terms))
+        here = lambda i: reduce(lambda a, b: a & b, [self._fits(p, k)(F.get(terms, i + k)) for k in range(len(p.terms))])
+        return F.when(F.size(terms) >= len(p.terms), F.filter(places, here)).otherwise(F.array().cast("array<int>"))
+
+    def _holds(self, tree: object, row: Column) -> Column:
+        if isinstance(tree, Phrase):
+            if not tree.terms:
+                return F.lit(False)
+            if len(tree.terms) == 1:
+                one = [F.exists(t, self._fits(tree, 0)) if tree.prefix else F.array_contains(t, tree.terms[0]) for t in self._terms(tree, row)]
+            else:
+                one = [F.size(self._starts(tree, t)) > 0 for t in self._terms(tree, row)]
+            return reduce(lambda a, b: a | b, one)
+        if isinstance(tree, All):
+            return reduce(lambda a, b: a & b, [self._holds(p, row) for p in tree.parts])
+        if isinstance(tree, Any_):
+            return reduce(lambda a, b: a | b, [self._holds(p, row) for p in tree.parts])
+        if isinstance(tree, Not):
+            return self._holds(tree.left, row) & ~self._holds(tree.right, row)
+        if isinstance(tree, Near):
+            return reduce(lambda a, b: a | b, [self._near(tree, row[c]) for c in self.columns])
+        raise TypeError(tree)
+
+    def _near(self, tree: Near, terms: Column) -> Column:
+        first = tree.phrases[0]
+        spans = F.transform(self._starts(first, terms), lambda p: F.struct(p.alias("low"), (p + len(first.terms)).alias("high")))
+        for phrase in tree.phrases[1:]:
+            spans = self._widened(spans, self._starts(phrase, terms), len(phrase.terms), tree.distance)
+        return F.size(spans) > 0
+
+    @staticmethod
+    def _widened(spans: Column, starts: Column, width: int, distance: int) -> Column:
+        """Spans that take in a further phrase with no more than ``distance`` terms between."""
+
+        def of(s: Column) -> Column:
+            near = F.filter(starts, lambda p: F.greatest(p - s["high"], s["low"] - p - width, F.lit(0)) <= distance)
+            return F.transform(near, lambda p: F.struct(F.least(s["low"], p).alias("low"), F.greatest(s["high"], p + width).alias("high")))
+
+        return F.array_distinct(F.flatten(F.transform(spans, of)))
+
+    def holds(self, tree: object) -> Column:
+        """Whether a row matches."""
+        return self._bound(lambda row: self._holds(tree, row))
+
+    def matches(self, tree: object) -> DataFrame:
+        """The matching rows."""
+        return self.rows.where(self.holds(tree))
+
+    def scores(self, tree: object) -> DataFrame:
+        """The matching rows with ``score``: BM25 over all rows, negated. Two passes over the texts."""
+        phrases = phrases_of(tree)
+
+        def facts(row: Column) -> Column:
+            total = lambda parts: reduce(lambda a, b: a + b, parts)
+            count = lambda p, t: F.size(F.filter(t, self._fits(p, 0))) if len(p.terms) == 1 else F.size(self._starts(p, t))
+            tfs = F.array(*[total([count(p, t) for t in self._terms(p, row)]) for p in phrases]) if phrases else F.array().cast("array<int>")
+            return F.struct(self._holds(tree, row).alias("hit"), total([F.size(row[c]) for c in self.columns]).alias("len"), tfs.alias("tf"))
+
+        counted = self.rows.withColumn("__f", self._bound(facts))
+        corpus = counted.agg(F.count("*").alias("__rows"), F.avg("__f.len").alias("__mean"), F.array(*[F.count_if(F.get("__f.tf", F.lit(k)) > 0) for k in range(len(phrases))]).alias("__df"))
+        joined = counted.join(F.broadcast(corpus)).where("__f.hit")  # one row
+
+        def part(k: int) -> Column:
+            df, tf = F.get("__df", F.lit(k)), F.get("__f.tf", F.lit(k))
+            idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("__rows") - df + 0.5) / (df + 0.5)))
+            return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__f.len") / F.col("__mean")))
+
+        score = -reduce(lambda a, b: a + b, [part(k) for k in range(len(phrases))]) if phrases else F.lit(0.0)
+        return joined.select(*self.rows.columns, score.alias("score"))
+
+
 def find(df: DataFrame, index: Index, text: str, row_id: str, name: str, limit: int = 20, internal: Column | None = None, columns: Sequence[str] = ()) -> DataFrame:
     """Matching rows of ``df``: exact names, then names that begin so, then by score, public before internal (Q1, O1)."""
     tree = tolerant(text, columns)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import iterate, lookup, merge, search
+from quarry.plans.tables import spread
 from quarry.plans.tables import table as T
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -29,12 +30,12 @@ _TOKENS = """WITH toks AS (SELECT doc_id, regexp_extract_all(lower(strip_accents
 pos AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM toks)"""
 
 
-def _index(s, d) -> search.Index:
-    return search.build(T(s, d, "documents").select("doc_id", "text"), "doc_id", ["text"])
+def _docs(s, d, *columns: str) -> DataFrame:
+    return spread(T(s, d, "documents").select("doc_id", *columns))
 
 
 def _matched(s, d, text: str) -> DataFrame:
-    return search.matches(_index(s, d), search.parse(text, ["text"])).select(F.col("id").alias("doc_id"))
+    return search.Scan(_docs(s, d, "text"), ["text"]).matches(search.parse(text, ["text"])).select("doc_id")
 
 
 @query("fts_and", f"{_TOKENS} SELECT doc_id FROM pos WHERE term = 'und' INTERSECT SELECT doc_id FROM pos WHERE term = 'die'")
@@ -72,9 +73,8 @@ def fts_near(s, d):
     """WITH t AS (SELECT conv_id, turn, role, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS t FROM conversations) SELECT conv_id, turn FROM t WHERE list_contains(t, 'the') AND role = 'user'""",
 )
 def fts_column(s, d):
-    rows = T(s, d, "conversations").withColumn("id", F.struct("conv_id", "turn"))
-    found = search.matches(search.build(rows, "id", ["role", "text"]), search.parse("text:the role:user", ["role", "text"]))
-    return found.select("id.conv_id", "id.turn")
+    rows = spread(T(s, d, "conversations"))
+    return search.Scan(rows, ["role", "text"]).matches(search.parse("text:the role:user", ["role", "text"])).select("conv_id", "turn")
 
 
 _BM25 = f"""{_TOKENS}, lens AS (SELECT doc_id, len(t) AS l FROM toks), corpus AS (SELECT count(*) AS n, avg(l) AS mean FROM lens),
@@ -86,12 +86,19 @@ scored AS (SELECT doc_id, -sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) *
 
 @query("bm25_scores", f"{_BM25} SELECT doc_id, round(score, 6) AS score FROM scored")
 def bm25_scores(s, d):
-    return search.scores(_index(s, d), search.parse("it for")).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return search.Scan(_docs(s, d, "text"), ["text"]).scores(search.parse("it for")).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_indexed", f"{_BM25} SELECT doc_id, round(score, 6) AS score FROM scored")
+def bm25_indexed(s, d):
+    """The same through an inverted index."""
+    index = search.build(_docs(s, d, "text"), "doc_id", ["text"])
+    return search.scores(index, search.parse("it for")).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("find_ranked", f"{_BM25} SELECT doc_id, source, round(score, 6) AS score FROM scored JOIN documents USING (doc_id) ORDER BY CASE WHEN source = 'src1' THEN 0 WHEN source ILIKE 'src1%' THEN 1 ELSE 2 END, round(score, 6), doc_id LIMIT 20")
 def find_ranked(s, d):
-    hits = T(s, d, "documents").select("doc_id", "source").join(search.scores(_index(s, d), search.parse("it for")).withColumnRenamed("id", "doc_id"), "doc_id")
+    hits = search.Scan(_docs(s, d, "source", "text"), ["text"]).scores(search.parse("it for")).select("doc_id", "source", "score")
     tier = F.when(F.col("source") == "src1", 0).when(F.col("source").ilike("src1%"), 1).otherwise(2)
     rounded = hits.withColumn("score", F.round("score", 6))
     return lookup.top(rounded, [tier, "score", "doc_id"], 20)

@@ -10,10 +10,17 @@ from quarry.streaming import incremental
 from tests.test_sources import FILES
 
 
+ROWS = [(1, "resume café", "alpha beta gamma"), (2, "Résumé", "alpha gamma"), (3, None, "beta. alpha-gamma delta"), (4, "zeta", None)]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return spark.createDataFrame(ROWS, "id long, title string, body string")
+
+
 @pytest.fixture(scope="module")
-def index(spark):
-    rows = [(1, "resume café", "alpha beta gamma"), (2, "Résumé", "alpha gamma"), (3, None, "beta. alpha-gamma delta"), (4, "zeta", None)]
-    return search.build(spark.createDataFrame(rows, "id long, title string, body string"), "id", ["title", "body"])
+def index(texts):
+    return search.build(texts, "id", ["title", "body"])
 
 
 @pytest.mark.parametrize(
@@ -23,8 +30,12 @@ def index(spark):
         ("body:alpha title:resume", {1, 2}), ("(zeta OR cafe) NOT delta", {1, 4}), ("NEAR(alpha gamma, 0)", {2, 3}), ("NEAR(alpha gamma, 1)", {1, 2, 3}), ("alpha + gamma", {2, 3}), ('""', set()), ('"gam" *', {1, 2, 3}),
     ],
 )
-def test_matches(index, text, want):
-    assert {r.id for r in search.matches(index, search.parse(text, ["title", "body"])).collect()} == want
+def test_matches(index, texts, text, want):
+    tree = search.parse(text, ["title", "body"])
+    assert {r.id for r in search.matches(index, tree).collect()} == want
+    assert {r.id for r in search.Scan(texts, ["title", "body"]).matches(tree).collect()} == want
+    a, b = search.scores(index, tree), search.Scan(texts, ["title", "body"]).scores(tree)
+    assert {r.id: pytest.approx(r.score) for r in a.collect()} == {r.id: r.score for r in b.collect()}
 
 
 @pytest.mark.parametrize("text", ["alpha AND", "", "(alpha", "foo.bar", "a OR OR b", "nocol:x"])
