@@ -400,7 +400,7 @@ def a5_group_counts(s, d):
        SELECT min(doc_id) AS doc_id, count(*) AS declarations, arg_min(lang, doc_id) AS lang, list_sort(list_distinct(list(source))) AS sources, bool_or(n_chars > 4000) AS long FROM k GROUP BY t""",
 )
 def merge_provenance(s, d):
-    docs = T(s, d, "documents").withColumn("key", X.normalize_signature(F.col("text"))).withColumn("long", F.col("n_chars") > 4000).withColumnRenamed("source", "sources")
+    docs = T(s, d, "documents").withColumn("key", F.sha2(X.normalize_signature(F.col("text")), 256)).withColumn("long", F.col("n_chars") > 4000).withColumnRenamed("source", "sources")
     out = merge.merged(docs, "key", "doc_id", "text", "lang", any_of=["long"], sets=["sources"])
     return out.select("doc_id", "declarations", "lang", "sources", "long")
 
