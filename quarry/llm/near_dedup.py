@@ -169,3 +169,31 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """The rows of ``docs`` that stay, one document of each group, with their columns unchanged."""
     gone = grouped(docs, doc_id, text).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+
+
+#: What ``grouped(documents)`` returns, by exact overlaps of all shingles, for DuckDB; ids must be distinct.
+SQL = """
+WITH RECURSIVE toks AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), pos AS (
+  SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM toks
+), shingles AS MATERIALIZED (
+  SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s, count(*) AS c FROM pos WHERE i + 4 <= n OR (n < 5 AND i = 1) GROUP BY 1, 2
+), sizes AS (
+  SELECT doc_id, sum(c) AS t FROM shingles GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, sum(least(a.c, b.c)) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), linked AS MATERIALIZED (
+  SELECT u, v FROM common JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 9 * o >= 4 * (a.t + b.t)
+), both_ways AS (
+  SELECT u, v FROM linked UNION ALL SELECT v, u FROM linked
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents
+  UNION
+  SELECT r.u, l.v FROM reach r JOIN both_ways l ON r.v = l.u
+), found AS (
+  SELECT u AS doc_id, min(v) AS group_id FROM reach GROUP BY 1
+)
+SELECT t.doc_id, CASE WHEN len(w) = 0 THEN t.doc_id ELSE min(t.doc_id) OVER (PARTITION BY w) END AS class_id, group_id, t.doc_id = group_id AS kept
+FROM toks t JOIN found f ON f.doc_id = t.doc_id
+"""

@@ -137,3 +137,41 @@ def kept_rows(docs: DataFrame, text: str = "text", limits: dict[int, float] | No
         return batch.filter(pa.array(np.concatenate(kept)))
 
     return over_batches(docs, work, docs.schema)
+
+
+#: What ``measure(documents, keep=["doc_id"])`` returns, for DuckDB; ids must be distinct.
+SQL = """
+WITH toks AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), pos AS (
+  SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM toks
+), grams AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM pos, (VALUES (3), (5), (6), (7), (8), (9), (10)) AS t(k) WHERE i + k - 1 <= n
+), again AS (
+  SELECT doc_id, k, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, g) AS c FROM grams) WHERE c > 1
+), covered AS (
+  SELECT DISTINCT doc_id, k, unnest(range(i, i + k)) AS j FROM again
+), inside AS (
+  SELECT c.doc_id, k, count(*) AS words, sum(length(w[j])) AS chars FROM covered c JOIN toks t ON t.doc_id = c.doc_id GROUP BY 1, 2
+), split_lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM toks
+), lines AS (
+  SELECT doc_id, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY nr) > 1 AS again
+  FROM split_lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+), line_sums AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(chars) FILTER (again), 0) AS dup_chars FROM lines GROUP BY 1
+), facts AS (
+  SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(dup_chars, 0) AS dup_chars,
+         coalesce((SELECT words FROM inside s WHERE s.doc_id = t.doc_id AND k = 3), 0)::BIGINT AS n_repeat_words,
+         list_transform([5, 6, 7, 8, 9, 10], lambda x: coalesce(m[x], 0)::DOUBLE / greatest(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0), 1)) AS shares
+  FROM toks t LEFT JOIN line_sums l ON l.doc_id = t.doc_id LEFT JOIN (SELECT doc_id, map_from_entries(list((k, chars))) AS m FROM inside GROUP BY 1) s ON s.doc_id = t.doc_id
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, dup_chars::DOUBLE / greatest(word_chars, 1) AS dup_line_char_share FROM facts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (shares[1] > 0.60 OR shares[2] > 0.58 OR shares[3] > 0.56 OR shares[4] > 0.54 OR shares[5] > 0.52 OR shares[6] > 0.50)
+         AND NOT dup_chars > 0.30 * word_chars AND NOT n_dup_lines > 0.50 * greatest(n_lines, 1) AND NOT n_symbols > 0.10 * greatest(n_words, 1) AS kept,
+       dup_line_char_share, shares AS dup_ngram_shares
+FROM judged
+"""

@@ -89,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_poisson_replication": mixing.SQL,
+    "op2_repetition_coverage": quality_rules.SQL,
     "op5_p_stable_hashing": embedding_dedup.SQL,
     "op8_sequential_warc": warc.SQL,
+    "op9_bagminhash": near_dedup.SQL,
 }
