@@ -88,10 +88,10 @@ def active_package(s, d):
 # --- filters (F1-F24) --------------------------------------------------------------------
 
 
-@query("f1_hit_projection", "SELECT o_orderkey, c_name, o_orderpriority, row(c_name, c_mktsegment) AS source FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
+@query("f1_hit_projection", "SELECT o_orderkey, c_name, o_orderpriority, c_name AS source_name, c_mktsegment AS source_segment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
 def f1_hit_projection(s, d):
     o, c = T(s, d, "orders").where("o_orderstatus = 'F'"), T(s, d, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name", "o_orderpriority", F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("source"))
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name", "o_orderpriority", F.col("c_name").alias("source_name"), F.col("c_mktsegment").alias("source_segment"))
 
 
 @query("optional_filters", "SELECT d.doc_id, d.lang, d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 0 WHERE d.lang = 'de' AND d.text ILIKE '%und%'")
@@ -458,7 +458,7 @@ def a14_index_summary(s, d):
     return T(s, d, "part").agg(F.count("*").alias("packages"), F.count_if(size < 10).alias("cached"), F.count_if(size.between(10, 40)).alias("indexed"), F.count_if(size > 40).alias("unsaved"))
 
 
-@query("a15_package_sums", "SELECT p_brand, count(*) AS symbols, sum(p_size) AS sizes, round(sum(p_retailprice), 2) AS price FROM part GROUP BY 1 ORDER BY symbols DESC, p_brand")
+@query("a15_package_sums", "SELECT p_brand, count(*) AS symbols, sum(p_size)::BIGINT AS sizes, round(sum(p_retailprice), 2) AS price FROM part GROUP BY 1 ORDER BY symbols DESC, p_brand")
 def a15_package_sums(s, d):
     return T(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("symbols"), F.sum("p_size").alias("sizes"), F.round(F.sum("p_retailprice"), 2).alias("price")).orderBy(F.desc("symbols"), "p_brand")
 

@@ -121,7 +121,7 @@ def evidence(s, d):
     place = F.row_number().over(Window.partitionBy("anchor").orderBy("doc_id"))
     hits = merge.picked(exact.unionByName(phrase).withColumn("place", place), ["doc_id"], ["anchor", "place"])  # ten rows place most
     snippet = F.substring(F.regexp_replace("text", r"^\s+|\s+$", ""), 1, 80)
-    return docs.join(F.broadcast(hits), "doc_id").select("anchor", "place", "doc_id", snippet.alias("snippet"))
+    return docs.join(F.broadcast(hits), "doc_id").select("anchor", F.col("place").cast("long").alias("place"), "doc_id", snippet.alias("snippet"))
 
 
 @query("evidence_truncated", "SELECT * FROM (SELECT doc_id::VARCHAR AS id FROM documents WHERE source = 'src2' ORDER BY doc_id LIMIT 2) UNION ALL SELECT '(more)'")
