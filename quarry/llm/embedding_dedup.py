@@ -99,7 +99,8 @@ def links(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, has
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * tables), pa.array(sig.ravel()))
         return pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "sig"])
 
-    signed = stored(over_batches(vectors, sign, f"id long, label {vectors.schema['label'].dataType.simpleString()}, vec array<double>, n long, sig array<int>"), "vec-signed")
+    kind = vectors.schema["vec"].dataType.simpleString()
+    signed = stored(over_batches(vectors, sign, f"id long, label {vectors.schema['label'].dataType.simpleString()}, vec {kind}, n long, sig array<int>"), "vec-signed")
     rows = signed.select("*", F.posexplode("sig").alias("table", "bucket")).withColumn("dim", F.size("vec"))
     key = ["label", "dim", "table", "bucket"]
     sizes = stored(rows.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1"), "vec-buckets")
@@ -158,7 +159,10 @@ def deduplicated(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
     their own with one id between them. Rows with a null id link, but name no component.
     """
     v = F.col(vector)
-    base = vectors.select(F.col(vec_id).alias("vec_id"), F.when(usable(v) & F.col(label).isNotNull(), F.transform(v, lambda x: x.cast("double") + 0.0)).alias("vec"), F.col(label).alias("label"))
+    # single precision stays so on the way, which halves what is dealt out; cosines are of doubles
+    kind = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    plain = F.transform(v, lambda x: x.cast(kind) + F.lit(0).cast(kind))  # -0.0 becomes 0.0
+    base = vectors.select(F.col(vec_id).alias("vec_id"), F.when(usable(v) & F.col(label).isNotNull(), plain).alias("vec"), F.col(label).alias("label"))
     name = F.when(F.col("vec").isNotNull(), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("vec").cast("array<string>")), 256))
     named = base.withColumn("name", name)
     classes = stored(named.where("name IS NOT NULL").groupBy("name").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value("vec").alias("vec")), "vec-classes")

@@ -29,7 +29,7 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, in_fold: Column, row
     """At most ``rows`` labelled rows (``text``, ``target``) on the driver, ``text_bytes`` long in all.
 
     ``labels`` has ``doc_id`` and ``target``; rows where either is null, or outside of
-    ``in_fold``, are never seen. The choice follows a hash of the id, so it doesn't depend
+    ``in_fold``, are never seen; of several labels of an id the least counts. The choice follows a hash of the id, so it doesn't depend
     on the order or the partitions. Ids and lengths come first, so that no more text is
     fetched than the bound allows.
     """
@@ -47,5 +47,5 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, in_fold: Column, row
     if not ids:
         return pa.table({"text": pa.array([], pa.large_string()), target: pa.array([], pa.int32())})
     few = spark.createDataFrame(sorted(set(ids)), "doc_id long")  # at most ``rows``
-    got = texts.join(F.broadcast(few), "doc_id").join(F.broadcast(chosen.join(F.broadcast(few), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "doc_id")
+    got = texts.join(F.broadcast(few), "doc_id").join(F.broadcast(chosen.join(F.broadcast(few), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(target).alias(target))), "doc_id")
     return got.orderBy(order, "doc_id").limit(rows).select("text", target).toArrow()
