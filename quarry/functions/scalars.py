@@ -12,20 +12,14 @@ def _blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-#: White space as Unicode has it, as characters and as a class without Unicode mode, which is slow.
-_SPACES = "".join(chr(k) for k in range(0x3001) if chr(k).isspace() and not 0x1C <= k <= 0x1F)
-_BEYOND = "".join(f"\\x{{{ord(c):X}}}" for c in _SPACES if ord(c) > 0x7F)
-
-
 def _stripped(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.btrim(c, F.lit(_SPACES))
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
 def normalize_signature(c: Column) -> Column:
     """White space at the ends dropped, runs within turned to one space, null to empty."""
-    # lone spaces, by far the most, are left as they are
-    return F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"[\s{_BEYOND}]{{2,}}|[^\S ]|[{_BEYOND}]", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))  # at the ends nothing but spaces is left
 
 
 def dedupe_key(file: Column, name: Column, kind_code: Column, signature: Column) -> Column:
