@@ -177,3 +177,31 @@ def test_odd_rows_lm(spark, odd_docs, no_docs):
     assert lm_scoring.scored(no_docs, F.lit(True), tokenizer_file()).collect() == []
     none = lm_scoring.scored(odd_docs, F.lit(False), tokenizer_file()).collect()
     assert {r.train_tokens for r in none} == {0} and {r.base_score for r in none} == {0.0}
+
+
+def test_model_learns_from_texts_outside_the_sample(spark):
+    rows = [(i, words(i, 60, 5000)) for i in range(120)]
+    first = [r.doc_id for r in spark.createDataFrame(rows, "doc_id long, text string").where("doc_id < 100").orderBy(F.xxhash64(F.lit("sample"), "doc_id")).limit(3).collect()]
+    cats = [(i, t if i >= 100 or i in first else "the cat sat on the mat " * 10) for i, t in rows] + [(200, "the cat sat on the mat " * 10)]
+    score = lambda x: {r.doc_id: r.score for r in lm_scoring.scored(spark.createDataFrame(x, "doc_id long, text string").repartition(3), F.col("doc_id") < 100, tokenizer_file(), rows=3).collect()}
+    without, learnt = score([*rows, cats[-1]]), score(cats)
+    assert learnt[200] > without[200] + 1
+
+
+def test_each_training_window_is_passed_once(spark):
+    texts = [words(i, 40 + i, 300) for i in range(60)] + ["", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    encode = lm_scoring.Encoder(tokenizer_file())
+    own = [encode(t or "") for t in texts]
+    vocabulary = encode.plain.get_vocab_size()
+    found = []
+    for parts in (1, 5):
+        ids = lm_scoring.encoded(docs.repartition(parts), tokenizer_file(), 4)
+        c = lm_scoring.classes_of(ids, vocabulary)
+        model, n = lm_scoring.passed(ids, attention.Model(c), 4)
+        assert n == len(attention.windows(own, c)[0])
+        found.append((c, attention.parameters(model)))
+    assert np.array_equal(found[0][0].inputs, found[1][0].inputs) and np.array_equal(found[0][0].within, found[1][0].within)
+    assert np.allclose(found[0][1], found[1][1], atol=1e-6)
+    counts = np.bincount(attention.flat(own, vocabulary), minlength=vocabulary + 1)
+    assert set(np.flatnonzero(found[0][0].inputs < attention.INPUT_IDS)) == set(np.argsort(-counts, kind="stable")[: attention.INPUT_IDS])
