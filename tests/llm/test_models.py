@@ -142,3 +142,12 @@ def test_sample_is_bounded_and_does_not_depend_on_order(judged):
     assert a.num_rows == 50 and a.to_pylist() == b.to_pylist()
     small = training.sample(docs, labels, "toxic", F.lit(True), rows=500, text_bytes=5_000)
     assert 0 < sum(map(len, small["text"].to_pylist())) <= 5_000
+
+
+def test_a_text_over_the_bound_does_not_end_the_sample(spark):
+    order = [r.doc_id for r in spark.range(40).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64(F.lit("sample"), "doc_id")).collect()]
+    for at in (0, 7):
+        long = order[at]
+        docs = spark.createDataFrame([(i, "x" * (2_000 if i == long else 20)) for i in order], "doc_id long, text string")
+        labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+        assert training.sample(docs, labels, "toxic", F.lit(True), rows=39, text_bytes=1_000)["text"].to_pylist() == ["x" * 20] * 39
