@@ -138,8 +138,11 @@ def evidence_truncated(s, d):
 _EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS src, l_suppkey % 7 + l_partkey % 9 AS dst FROM lineitem WHERE l_orderkey < 40)"
 
 
-def _edges(s, d) -> DataFrame:
-    lines = T(s, d, "lineitem").where("l_orderkey < 40")
+_ALL_EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS src, l_suppkey % 7 + l_partkey % 9 AS dst FROM lineitem)"
+
+
+def _edges(s, d, some: str = "l_orderkey < 40") -> DataFrame:
+    lines = T(s, d, "lineitem").where(some)
     return lines.select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") % 7 + F.col("l_partkey") % 9).alias("dst")).distinct()
 
 
@@ -187,11 +190,58 @@ def revisits(s, d):
     reach AS (SELECT a AS id, a AS node FROM u UNION SELECT r.id, u.b FROM reach r JOIN u ON u.a = r.node) SELECT id, min(node) AS component FROM reach GROUP BY 1""",
 )
 def scope_components(s, d):
-    lines = T(s, d, "lineitem").where("l_orderkey < 30")
+    return _scope_components(s, d, "l_orderkey < 30")
+
+
+def _scope_components(s, d, some: str) -> DataFrame:
+    lines = T(s, d, "lineitem").where(some)
     edges = lines.select(F.concat(F.lit("p"), "l_partkey").alias("u"), F.concat(F.lit("s"), "l_suppkey").alias("v"))
     return iterate.components(edges)
 
 
+# the same over the whole edge table, from all roots
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).distinct()
+
+
+def _all_hops(cap: int):
+    def run(s, d):
+        edges = _edges(s, d, "true")
+        return iterate.reached(_roots(edges), edges, cap).groupBy("root", "node").agg(F.min("depth").alias("depth"))
+
+    return run
+
+
+for _cap in (0, 1, 3):
+    query(
+        f"hop_bfs_{_cap}_all",
+        f"""WITH RECURSIVE {_ALL_EDGES_SQL}, walk AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth FROM edges UNION SELECT w.root, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < {_cap})
+        SELECT root, node, min(depth) AS depth FROM walk GROUP BY 1, 2""",
+    )(_all_hops(_cap))
+
+
+@query(
+    "closure_all",
+    f"""WITH RECURSIVE {_ALL_EDGES_SQL}, walk AS (SELECT DISTINCT src AS root, src AS node FROM edges UNION SELECT w.root, e.dst FROM walk w JOIN edges e ON e.src = w.node) SELECT root, node FROM walk""",
+)
+def closure_all(s, d):
+    edges = _edges(s, d, "true")
+    return iterate.reached(_roots(edges), edges).select("root", "node")
+
+
+@query("revisits_all", None)
+def revisits_all(s, d):
+    edges = _edges(s, d, "true")
+    return iterate.revisits(iterate.reached(_roots(edges), edges), edges)
+
+
+@query("scope_components_all", None)
+def scope_components_all(s, d):
+    return _scope_components(s, d, "true")
+
+
 @query(
     "merge_scopes",
     """WITH RECURSIVE f AS (SELECT s_suppkey AS path, s_suppkey % 2 = 0 AS m FROM supplier), e AS (SELECT s_suppkey AS a, s_nationkey AS b FROM supplier WHERE s_suppkey % 2 = s_nationkey % 2 AND s_nationkey IN (SELECT path FROM f)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
