@@ -264,8 +264,12 @@ def merge_scopes(s, d):
     SELECT a.child, m.leaf, list_sort(list_distinct(list(m.member))) AS from_members FROM above a JOIN m ON m.parent = a.anc LEFT JOIN own o ON o.child = a.child AND o.leaf = m.leaf WHERE o.leaf IS NULL GROUP BY 1, 2""",
 )
 def inherit_flatten(s, d):
+    return _inherit_flatten(s, d, "c_custkey < 50")
+
+
+def _inherit_flatten(s, d, some: str) -> DataFrame:
     region, nation, supp = T(s, d, "region"), T(s, d, "nation"), T(s, d, "supplier")
-    customers = T(s, d, "customer").where("c_custkey < 50")
+    customers = T(s, d, "customer").where(some)
     row = lambda parent, leaf, member, internal: [parent.alias("parent"), leaf.alias("leaf"), member.alias("member"), internal.alias("internal"), F.lit(0).alias("seq")]
     text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     leaf = lambda c: F.concat(F.lit("leaf"), (F.col(c) % 5).cast("string"))
@@ -278,6 +282,18 @@ def inherit_flatten(s, d):
     return iterate.inherited(members, heritage).where("child LIKE 'customer%'").select("child", "leaf", "from_members")
 
 
+@query(
+    "inherit_flatten_all",
+    """WITH m AS (SELECT 'region' || r_regionkey AS parent, r_name AS leaf, 'r' || r_regionkey AS member FROM region UNION ALL SELECT 'nation' || s_nationkey, 'leaf' || s_suppkey % 5, 's' || s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0
+      UNION ALL SELECT 'region' || n_regionkey, 'leaf' || n_nationkey % 5, 'n' || n_nationkey FROM nation),
+    above AS (SELECT 'customer' || c_custkey AS child, 'nation' || c_nationkey AS anc FROM customer UNION SELECT 'customer' || c_custkey, 'region' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    own AS (SELECT 'customer' || c_custkey AS child, 'leaf' || c_custkey % 5 AS leaf FROM customer)
+    SELECT a.child, m.leaf, list_sort(list_distinct(list(m.member))) AS from_members FROM above a JOIN m ON m.parent = a.anc LEFT JOIN own o ON o.child = a.child AND o.leaf = m.leaf WHERE o.leaf IS NULL GROUP BY 1, 2""",
+)
+def inherit_flatten_all(s, d):
+    return _inherit_flatten(s, d, "true")
+
+
 @query("g2_edge_kinds", "SELECT c_custkey AS src, c_nationkey::BIGINT AS dst FROM customer UNION SELECT s_suppkey, s_nationkey FROM supplier UNION SELECT n_nationkey, n_regionkey FROM nation")
 def g2_edge_kinds(s, d):
     parts = [T(s, d, t).select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")) for t, a, b in (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey"), ("nation", "n_nationkey", "n_regionkey"))]
