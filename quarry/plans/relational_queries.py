@@ -248,7 +248,16 @@ def left_count_keep_empty(s, d):
 
 @query("edge_walk", "SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 200")
 def edge_walk(s, d):
-    lines = T(s, d, "lineitem").where("l_orderkey < 200")
+    return _edge_walk(s, d, "l_orderkey < 200")
+
+
+@query("edge_walk_all", "SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def edge_walk_all(s, d):
+    return _edge_walk(s, d, "true")
+
+
+def _edge_walk(s, d, some: str) -> DataFrame:
+    lines = T(s, d, "lineitem").where(some)
     return lines.join(T(s, d, "part"), lines.l_partkey == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "p_name")
 
 
