@@ -131,6 +131,16 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["u", "v"])
 
 
+def distinct_buckets(keyed: DataFrame) -> DataFrame:
+    """(band, key, members) of one bucket for each set of two or more classes; ``keyed`` has (h1, h2, band, key).
+
+    Several bands often have the same members: one bucket of them is enough. Members are
+    classes, not ids: a class is in a bucket once, so that nothing cancels in the XORs.
+    """
+    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("members"), F.bit_xor("h1").alias("m1"), F.bit_xor("h2").alias("m2")).where("members > 1")
+    return buckets.groupBy("members", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "members")
+
+
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, n_bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
     """(doc_id, class_id, group_id, kept) for each row of ``docs``.
 
@@ -145,10 +155,9 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     own = stored(signed(docs, doc_id, text, width, n_bands, rows), "near-signed")
     worded = own.where("bands IS NOT NULL")
     classes = stored(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands")), "near-classes")
-    keyed = classes.where("id IS NOT NULL").select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("m2")).where("members > 1")
-    # several bands often have the same members: one bucket of them is enough
-    chosen = stored(buckets.groupBy("members", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "members"), "near-buckets")
+    keyed = classes.where("id IS NOT NULL").select("id", "h1", "h2", F.posexplode("bands").alias("band", "key"))
+    chosen = stored(distinct_buckets(keyed), "near-buckets")
+    keyed = keyed.drop("h1", "h2")
     blocks = F.ceil(F.col("members") / tile).cast("int")
     inside = keyed.join(chosen.hint("merge"), ["band", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))

@@ -159,3 +159,11 @@ def test_no_vectors(spark):
     assert embedding_dedup.deduplicated(df).collect() == []
     alone = spark.createDataFrame([(None, [1.0, 2.0], 1)], "vec_id long, embedding array<double>, label int")
     assert [(r.n_links, r.component_id) for r in embedding_dedup.deduplicated(alone).collect()] == [(0, None)]
+
+
+def test_repeated_ids_do_not_make_buckets_equal(spark):
+    hashed = {"1a": (11, 21), "1b": (12, 25), "2a": (13, 28), "2b": (99, 31), "3": (70, 81)}
+    buckets = {(0, 5): ("1a", "1b", "3"), (1, 6): ("2a", "2b", "3"), (2, 7): ("2a", "2b", "3"), (3, 8): ("3",)}
+    rows = [(int(k[0]), *hashed[k], *b) for b, own in buckets.items() for k in own]
+    keyed = spark.createDataFrame(rows, "id long, h1 long, h2 long, band int, key long")
+    assert {tuple(r) for r in near_dedup.distinct_buckets(keyed).collect()} == {(0, 5, 3), (1, 6, 3)}
