@@ -2,7 +2,7 @@
 
 Rolling hashes of several n-gram lengths mark the windows that occur twice or more in
 a text; the share of its word characters inside them, and inside repeated lines, is
-held against a limit for each length.
+held against a limit for each length. Nothing else but the base rule rejects a text.
 """
 
 from __future__ import annotations
@@ -15,13 +15,12 @@ from pyspark.sql.types import StructType
 from quarry.llm import scan
 from quarry.llm.shared import over_batches
 
-#: Largest share of a text's word characters inside repeated n-grams, by n. A short clean
-#: text with the same line above and below has shares of up to about 0.4.
-NGRAM_LIMITS = {5: 0.60, 6: 0.58, 7: 0.56, 8: 0.54, 9: 0.52, 10: 0.50}
-#: Largest share of characters inside lines that repeat an earlier one, and of such lines.
-LINE_CHAR_LIMIT, LINE_LIMIT = 0.30, 0.50
-#: Most symbol characters for each word.
-SYMBOL_LIMIT = 0.10
+#: Most word characters of a text inside repeated n-grams, in percent by n, beyond ALLOWANCE
+#: characters: the longer a text, the less a heading that stands above and below it weighs.
+NGRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+ALLOWANCE = 60
+#: Most word characters, in percent, inside lines that repeat an earlier one, beyond LINE_ALLOWANCE.
+LINE_LIMIT, LINE_ALLOWANCE = 15, 30
 MIN_WORDS = 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -59,7 +58,6 @@ def measures(t: scan.Texts, lengths: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> d
     word_chars = _sums(sizes, t.bounds)
     out = {"n_words": n_words, "word_chars": word_chars, "n_symbols": t.per_text(_SYMBOL[t.data])}
     starts, ends, doc, again = _lines(t)
-    out["n_lines"] = np.bincount(doc, minlength=t.n)
     out["n_dup_lines"] = np.bincount(doc, again, t.n).astype(np.int64)
     line_words = np.concatenate([[0], np.cumsum(sizes)])
     line_chars = line_words[np.searchsorted(t.starts, ends)] - line_words[np.searchsorted(t.starts, starts)]
@@ -71,7 +69,7 @@ def measures(t: scan.Texts, lengths: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> d
     at = np.arange(n)  # windows that may repeat: a repeated n-gram begins with a repeated (n-1)-gram
     left = t.bounds[1:][t.doc] - at  # words from here to the text's end
     factor = np.uint64(1)
-    shares = {}
+    inside_chars = {}
     for width in range(2, max(lengths) + 1):
         factor = np.uint64(int(factor) * 0xD6E8FEB86659FD93 % 2**64)
         at = at[left[at] >= width]
@@ -83,28 +81,27 @@ def measures(t: scan.Texts, lengths: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> d
             if width == 3:
                 out["n_repeat_words"] = _sums(inside, t.bounds)
             if width in lengths:
-                shares[width] = _sums(sizes * inside, t.bounds) / np.maximum(word_chars, 1)
-    out["shares"] = np.stack([shares[w] for w in lengths], 1) if n else np.zeros((t.n, len(lengths)))
+                inside_chars[width] = _sums(sizes * inside, t.bounds)
+    out["dup_ngram_chars"] = np.stack([inside_chars[w] for w in lengths], 1) if n else np.zeros((t.n, len(lengths)), np.int64)
     out.setdefault("n_repeat_words", np.zeros(t.n, np.int64))
     return out
 
 
-def verdicts(m: dict[str, np.ndarray], limits: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-    """(base failed, kept)."""
+def verdicts(m: dict[str, np.ndarray], limits: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(base failed, kept): kept if neither the base rule nor a limit of coverage is overrun."""
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    bad = (m["shares"] > np.array(list(limits.values()))).any(1)
-    bad |= m["dup_line_chars"] > LINE_CHAR_LIMIT * m["word_chars"]
-    bad |= m["n_dup_lines"] > LINE_LIMIT * np.maximum(m["n_lines"], 1)
-    bad |= m["n_symbols"] > SYMBOL_LIMIT * np.maximum(m["n_words"], 1)
+    bad = (100 * (m["dup_ngram_chars"] - ALLOWANCE) > np.array(list(limits.values())) * m["word_chars"][:, None]).any(1)
+    bad |= 100 * (m["dup_line_chars"] - LINE_ALLOWANCE) > LINE_LIMIT * m["word_chars"]
     return failed, ~failed & ~bad
 
 
-def measure(docs: DataFrame, text: str = "text", limits: dict[int, float] | None = None, keep: list[str] | None = None) -> DataFrame:
+def measure(docs: DataFrame, text: str = "text", limits: dict[int, int] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all but the text by default) with the measures and the verdict.
 
     Each row is judged alone: no shuffle, and repeated rows get equal results. A null
     text reads as empty; empty texts have no words and fail the base rule. Columns of
     ``docs`` named like a result give way to it. Texts of any length are read whole.
+    ``limits`` are percents by n-gram length.
     """
     limits = limits or NGRAM_LIMITS
     names = {f.name for f in StructType.fromDDL(COLUMNS)}
@@ -116,7 +113,7 @@ def measure(docs: DataFrame, text: str = "text", limits: dict[int, float] | None
         for _, _, t in scan.texts_of(batch.column(batch.num_columns - 1)):
             m = measures(t, tuple(limits))
             failed, kept = verdicts(m, limits)
-            parts.append([*(m[k].astype(np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed, kept, m["dup_line_chars"] / np.maximum(m["word_chars"], 1), m["shares"]])
+            parts.append([*(m[k].astype(np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed, kept, m["dup_line_chars"] / np.maximum(m["word_chars"], 1), m["dup_ngram_chars"] / np.maximum(m["word_chars"], 1)[:, None]])
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
         shares = columns.pop()
         arrays = [pa.array(x) for x in columns]
@@ -127,7 +124,7 @@ def measure(docs: DataFrame, text: str = "text", limits: dict[int, float] | None
     return over_batches(source, work, schema)
 
 
-def kept_rows(docs: DataFrame, text: str = "text", limits: dict[int, float] | None = None) -> DataFrame:
+def kept_rows(docs: DataFrame, text: str = "text", limits: dict[int, int] | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns unchanged."""
     limits = limits or NGRAM_LIMITS
     at = docs.columns.index(text)
@@ -159,19 +156,18 @@ WITH toks AS MATERIALIZED (
   SELECT doc_id, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY nr) > 1 AS again
   FROM split_lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ), line_sums AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(chars) FILTER (again), 0) AS dup_chars FROM lines GROUP BY 1
+  SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(chars) FILTER (again), 0) AS dup_chars FROM lines GROUP BY 1
 ), facts AS (
   SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
-         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(dup_chars, 0) AS dup_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(dup_chars, 0) AS dup_chars,
          coalesce((SELECT words FROM inside s WHERE s.doc_id = t.doc_id AND k = 3), 0)::BIGINT AS n_repeat_words,
-         list_transform([5, 6, 7, 8, 9, 10], lambda x: coalesce(m[x], 0)::DOUBLE / greatest(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0), 1)) AS shares
+         list_transform([5, 6, 7, 8, 9, 10], lambda x: coalesce(m[x], 0)) AS counts
   FROM toks t LEFT JOIN line_sums l ON l.doc_id = t.doc_id LEFT JOIN (SELECT doc_id, map_from_entries(list((k, chars))) AS m FROM inside GROUP BY 1) s ON s.doc_id = t.doc_id
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, dup_chars::DOUBLE / greatest(word_chars, 1) AS dup_line_char_share FROM facts
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (shares[1] > 0.60 OR shares[2] > 0.58 OR shares[3] > 0.56 OR shares[4] > 0.54 OR shares[5] > 0.52 OR shares[6] > 0.50)
-         AND NOT dup_chars > 0.30 * word_chars AND NOT n_dup_lines > 0.50 * greatest(n_lines, 1) AND NOT n_symbols > 0.10 * greatest(n_words, 1) AS kept,
-       dup_line_char_share, shares AS dup_ngram_shares
+       NOT base_failed AND NOT 100 * (dup_chars - 30) > 15 * word_chars AND NOT list_bool_or(list_transform(range(1, 7), lambda i: 100 * (counts[i] - 60) > (16 - i) * word_chars)) AS kept,
+       dup_line_char_share, list_transform(counts, lambda x: x::DOUBLE / greatest(word_chars, 1)) AS dup_ngram_shares
 FROM judged
 """

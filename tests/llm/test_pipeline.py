@@ -19,7 +19,8 @@ def tables(spark, tmp_path_factory):
         if toxic:
             text += " " + " ".join(r.choices(["grumble", "fiend", "zounds"], k=3))
         if junk:
-            text = " ".join(w + "##" for w in text.split())
+            passage = words(9000 + i, 25, 4000)
+            text = f"{passage} {text} {passage}"
         rows.append((i, text, "en", f"s{i % 3}", len(text)))
         labels.append((i, int(not junk), int(toxic)))
     near = words(5001, 300, 4000).split()

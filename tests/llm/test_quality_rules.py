@@ -1,12 +1,15 @@
+import itertools
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.llm import quality_rules, scan
+from tests import oracle
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,7 +35,7 @@ def measured(texts):
     out = []
     for _, _, t in scan.texts_of(pa.array(texts, pa.string()), 200):
         m = quality_rules.measures(t)
-        out += [(int(m["n_words"][i]), int(m["word_chars"][i]), int(m["n_symbols"][i]), int(m["n_dup_lines"][i]), int(m["n_repeat_words"][i]), m["shares"][i].tolist()) for i in range(t.n)]
+        out += [(int(m["n_words"][i]), int(m["word_chars"][i]), int(m["n_symbols"][i]), int(m["n_dup_lines"][i]), int(m["n_repeat_words"][i]), (m["dup_ngram_chars"][i] / max(m["word_chars"][i], 1)).tolist()) for i in range(t.n)]
     return out
 
 
@@ -64,4 +67,48 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_verdict(spark):
     clean = " ".join(f"w{i}" for i in range(100))
     docs = spark.createDataFrame([(1, clean), (2, clean + "\n" + " ".join(["again and again so"] * 60)), (3, " ".join(f"w{i}###" for i in range(100))), (4, "header line here\n" + clean + "\nheader line here")], "doc_id long, text string")
-    assert {r.doc_id: r.kept for r in quality_rules.measure(docs).collect()} == {1: True, 2: False, 3: False, 4: True}
+    assert {r.doc_id: r.kept for r in quality_rules.measure(docs).collect()} == {1: True, 2: False, 3: True, 4: True}
+
+
+@pytest.mark.parametrize("length", [5, 6, 7, 8, 9, 10, 40])
+def test_coverage_alone_decides(length):
+    """Passages of some length that stand twice, among words that stand once: the base rule passes them all."""
+    fresh = (f"word{i}" for i in itertools.count())
+    take = lambda n: " ".join(itertools.islice(fresh, n))
+
+    def text(passages):
+        parts = [take(length) for _ in range(passages)]
+        return take(200) + " " + " ".join(f"{x} {take(length)} {x} {take(length)}" for x in parts)
+
+    many = 1 + 120 // length
+    (_, _, t), = scan.texts_of(pa.array([text(many), text(0) + take(200), text(1) if length <= 5 else take(400)]), 1 << 30)
+    m = quality_rules.measures(t)
+    failed, kept = quality_rules.verdicts(m, quality_rules.NGRAM_LIMITS)
+    assert not failed.any() and kept.tolist() == [False, True, True]
+    m["dup_ngram_chars"][:] = 0
+    m["dup_line_chars"][:] = 0
+    assert quality_rules.verdicts(m, quality_rules.NGRAM_LIMITS)[1].all()
+
+
+def test_repeated_lines_alone_decide():
+    lines = [" ".join(f"{c}{k}" for k in range(4)) for c in "abcdefghijklmnopqrstuvw"]  # under five words: no n-gram repeats
+    doubled = "\n".join(f"{x}\nl{k} m{k} n{k} o{k} p{k}" for k, x in enumerate(lines)) + "\n" + "\n".join(f"{x}\nq{k} r{k} s{k} t{k} u{k}" for k, x in enumerate(lines))
+    (_, _, t), = scan.texts_of(pa.array([doubled]))
+    m = quality_rules.measures(t)
+    assert not m["dup_ngram_chars"].any() and m["n_dup_lines"].tolist() == [23]
+    failed, kept = quality_rules.verdicts(m, quality_rules.NGRAM_LIMITS)
+    assert not failed.any() and not kept.any()
+
+
+def test_sql_agrees(spark, tmp_path):
+    fresh = (f"word{i}" for i in itertools.count())
+    take = lambda n: " ".join(itertools.islice(fresh, n))
+    passage, rows = take(30), [None, "", take(49), take(50)]
+    rows += [take(60 + 20 * k) + "\n" + passage + "\n" + take(20) + "\n" + passage for k in range(20)]
+    rows += ["short line here\n" * k + take(70) for k in range(1, 14)]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    con = oracle.connection("/nowhere")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    out = quality_rules.measure(spark.read.parquet(f"{tmp_path}/documents"), keep=["doc_id"])
+    assert 5 < out.where("NOT base_failed AND NOT kept").count() < 25
+    assert oracle.difference(out, con, quality_rules.SQL) is None
