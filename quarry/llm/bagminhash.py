@@ -22,7 +22,7 @@ SLACK = 4.0
 
 
 def shingles(t: scan.Texts, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, count), by text: 48-bit hashes of windows of ``width`` words.
+    """(text, shingle, count), by text: 64-bit hashes of windows of ``width`` words.
 
     A text of fewer words, but one at least, is one shingle as a whole.
     """
@@ -39,14 +39,14 @@ def shingles(t: scan.Texts, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.
         more = left[begin] > k
         rolling[more] += words[begin[more] + k] * _U(factor)
     rolling += np.minimum(left[begin], width).astype(np.uint64)
-    keys = (t.doc[begin].astype(np.uint64) << _U(48)) | (scan.mixed(rolling) >> _U(16))
-    keys.sort()
+    doc, keys = t.doc[begin], scan.mixed(rolling)
+    order = np.argsort(keys)
+    order = order[np.argsort(doc[order].astype(np.uint16) if t.n < 1 << 16 else doc[order], kind="stable")]  # 16 bits: a radix sort
+    doc, keys = doc[order], keys[order]
     new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
+    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    counts = np.diff(np.append(first, len(keys)))
-    keys = keys[first]
-    return (keys >> _U(48)).astype(np.int64), keys & _U((1 << 48) - 1), counts
+    return doc[first], keys[first], np.diff(np.append(first, len(keys)))
 
 
 def _points(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, horizon: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

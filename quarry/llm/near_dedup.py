@@ -1,18 +1,24 @@
 """Near-duplicate documents: BagMinHash signatures, bands, exact multiset overlap.
 
 Documents with the same words are one class and are hashed once. Classes that share a
-band's bucket are candidates; buckets with the same members are compared once, in tiles of
-bounded size, by the exact overlap of their shingle multisets. A tile returns edges to the
-least of each component, never pairs, and all candidates are verified: no cap, no sample.
+band's bucket are candidates, compared in tiles of bounded size by the exact overlap of
+their shingle multisets; a tile returns edges to the least of each component, never pairs.
+
+Two passes keep large groups of near copies linear. The first takes a few bands: a bucket
+is dealt out in blocks, and its least member, its representative, is in each. The second
+takes all bands, but only buckets whose members are not yet one component: those outside
+of the largest component meet all members. No other pair can join components, so the
+groups are those of comparing all candidates: no cap, no sample.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import bagminhash, scan
@@ -20,38 +26,37 @@ from quarry.llm.shared import components, over_batches, stored, tuned
 
 #: Classes of similarity 0.8 share a bucket with probability 1 - (1 - 0.8**5)**25 = 0.99995.
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
-TILE = 512
+#: Classes, and words, of a block of a bucket.
+TILE, TILE_WORDS = 512, 1 << 20
+#: Bands of the first pass.
+FIRST = 5
 _FEATURES = 4096
+_TILE_KEY = ["band", "key", "i", "j"]
 
 
-def _sequence_hashes(t: scan.Texts) -> list[np.ndarray]:
-    """Two 64-bit hashes of each text's words in their order."""
-    words = t.word_hashes()
-    powers = scan.powers(int(t.n_words.max(initial=0)) + 1)[np.arange(len(words)) - t.bounds[:-1][t.doc]]
-    out = []
-    for w in (words, scan.mixed(words ^ np.uint64(0x2545F4914F6CDD1D))):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * powers)])
-        out.append(scan.mixed(sums[t.bounds[1:]] - sums[t.bounds[:-1]] + t.n_words.astype(np.uint64)).view(np.int64))
-    return out
+def sequence_names(t: scan.Texts) -> np.ndarray:
+    """(text, 2): a 128-bit BLAKE2 digest of each text's words in their order."""
+    data = t.data.tobytes()
+    names = [hashlib.blake2b(b" ".join(data[a:b].split()), digest_size=16).digest() for a, b in zip(t.offsets[:-1], t.offsets[1:], strict=True)]
+    return np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
 
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, h1, h2, bands) of each row; ``bands`` is null for texts without words."""
+    """(doc_id, h1, h2, words, bands) of each row: a name of its words, their number; ``bands`` is null for texts without words."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        first, second, keys, empty = [], [], [], []
+        names, keys, sizes = [], [], []
         for _, _, t in scan.texts_of(batch.column(1)):
-            a, b = _sequence_hashes(t)
-            first.append(a)
-            second.append(b)
+            names.append(sequence_names(t))
             keys.append(bagminhash.bands(bagminhash.signatures(t.n, *bagminhash.shingles(t, width), n_bands * rows), rows))
-            empty.append(t.n_words == 0)
+            sizes.append(t.n_words)
+        name, size = np.concatenate(names), np.concatenate(sizes).astype(np.int64)
         offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n_bands)
-        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).ravel()), mask=pa.array(np.concatenate(empty)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(first)), pa.array(np.concatenate(second)), lists], ["doc_id", "h1", "h2", "bands"])
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).ravel()), mask=pa.array(size == 0))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array(size), lists], ["doc_id", "h1", "h2", "words", "bands"])
 
-    return over_batches(source, work, "doc_id long, h1 long, h2 long, bands array<long>")
+    return over_batches(source, work, "doc_id long, h1 long, h2 long, words long, bands array<long>")
 
 
 def overlaps(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -90,11 +95,14 @@ def least_reached(hit: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def edges(tiles: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """(u, v) edges of tiles: rows (band, key, i, j, id, text) sorted by tile within partitions."""
+    """(u, v) edges of tiles: rows (band, key, i, j, id, text) sorted by tile within partitions.
+
+    A row that repeats another one of its tile says nothing new.
+    """
     tuned(tiles.sparkSession)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, seen = None, [], set()
 
         def settle() -> list[tuple[int, int]]:
             ids = np.array([h[0] for h in held], np.int64)
@@ -113,12 +121,15 @@ def edges(tiles: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) ->
             out: list[tuple[int, int]] = []
             for begin, _, t in scan.texts_of(batch.column("text")):
                 doc, shingle, count = bagminhash.shingles(t, width)
-                bounds = np.searchsorted(doc, np.arange(t.n + 1))
+                bounds, names = np.searchsorted(doc, np.arange(t.n + 1)), sequence_names(t)
                 for k in range(t.n):
                     if keys[begin + k] != now:
                         if len(held) > 1:
                             out += settle()
-                        now, held = keys[begin + k], []
+                        now, held, seen = keys[begin + k], [], set()
+                    if (own := (ids[begin + k], names[k].tobytes())) in seen:
+                        continue
+                    seen.add(own)
                     held.append((ids[begin + k], shingle[bounds[k] : bounds[k + 1]], count[bounds[k] : bounds[k + 1]]))
             yield _pairs(out)
         if len(held) > 1:
@@ -132,16 +143,52 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def distinct_buckets(keyed: DataFrame) -> DataFrame:
-    """(band, key, members) of one bucket for each set of two or more classes; ``keyed`` has (h1, h2, band, key).
+    """(band, key, members, words, m1, m2, id) of one bucket for each set of classes of two components or more.
 
-    Several bands often have the same members: one bucket of them is enough. Members are
-    classes, not ids: a class is in a bucket once, so that nothing cancels in the XORs.
+    ``keyed`` has (id, component, h1, h2, words, band, key). Several bands often have the
+    same members: one bucket of them is enough. Members are classes, not ids: a class is
+    in a bucket once, so that nothing cancels in the XORs. ``id`` is the least member.
     """
-    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("members"), F.bit_xor("h1").alias("m1"), F.bit_xor("h2").alias("m2")).where("members > 1")
-    return buckets.groupBy("members", "m1", "m2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "members")
+    ends = [F.min("component").alias("low"), F.max("component").alias("high")]
+    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("members"), F.sum("words").alias("words"), F.bit_xor("h1").alias("m1"), F.bit_xor("h2").alias("m2"), F.min("id").alias("id"), *ends).where("low < high")
+    return buckets.groupBy("members", "m1", "m2").agg(F.min(F.struct("band", "key", "words", "id")).alias("b")).select("b.*", "members", "m1", "m2")
+
+
+def _blocks(members: str, words: str, tile: int) -> Column:
+    return F.greatest(F.ceil(F.col(members) / tile), F.ceil(F.col(words) / TILE_WORDS)).cast("int")
+
 
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("id"), blocks).cast("int")
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, n_bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
+
+def star_tiles(keyed: DataFrame, chosen: DataFrame, tile: int) -> DataFrame:
+    """(band, key, i, j, id): each member of the ``chosen`` buckets in one block, and the bucket's least in all."""
+    sized = chosen.select("band", "key", F.col("id").alias("least"), _blocks("members", "words", tile).alias("blocks"))
+    members = keyed.select("band", "key", "id").join(sized.hint("merge"), ["band", "key"]).select("band", "key", _block("blocks").alias("i"), "id")
+    least = sized.where("blocks > 1").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("least").alias("id"))
+    return members.unionByName(least).select("band", "key", "i", F.lit(0).alias("j"), "id")
+
+
+def rest_tiles(keyed: DataFrame, chosen: DataFrame, tile: int) -> DataFrame:
+    """(band, key, i, j, id): in the ``chosen`` buckets, members outside of the largest component meet all members.
+
+    Tile (i, j) has block i of those outside and block j of all.
+    """
+    members = keyed.select("band", "key", "id", "words", "component").join(chosen.select("band", "key").hint("merge"), ["band", "key"])
+    sizes = members.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    most = F.max(F.struct("n", "w", "component"))
+    sizes = sizes.groupBy("band", "key").agg(most.alias("m"), F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
+    sizes = sizes.select("band", "key", F.col("m.component").alias("main"), "all_n", "all_w", (F.col("all_n") - F.col("m.n")).alias("n"), (F.col("all_w") - F.col("m.w")).alias("w"))
+    sizes = sizes.select("band", "key", "main", _blocks("n", "w", tile).alias("outer"), _blocks("all_n", "all_w", tile).alias("blocks"))
+    placed = members.join(sizes.hint("merge"), ["band", "key"])
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    everyone = placed.select("band", "key", F.explode(upto("outer")).alias("i"), _block("blocks").alias("j"), "id")
+    outside = placed.where("component <> main").select("band", "key", _block("outer").alias("i"), F.explode(upto("blocks")).alias("j"), "id")
+    return everyone.unionByName(outside).distinct()
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, n_bands: int = BANDS, rows: int = ROWS, tile: int = TILE, first: int = FIRST) -> DataFrame:
     """(doc_id, class_id, group_id, kept) for each row of ``docs``.
 
     ``class_id`` is the least id with the same words in the same order, ``group_id`` the
@@ -154,20 +201,30 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     """
     own = stored(signed(docs, doc_id, text, width, n_bands, rows), "near-signed")
     worded = own.where("bands IS NOT NULL")
-    classes = stored(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands")), "near-classes")
-    keyed = classes.where("id IS NOT NULL").select("id", "h1", "h2", F.posexplode("bands").alias("band", "key"))
-    chosen = stored(distinct_buckets(keyed), "near-buckets")
-    keyed = keyed.drop("h1", "h2")
-    blocks = F.ceil(F.col("members") / tile).cast("int")
-    inside = keyed.join(chosen.hint("merge"), ["band", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
-    spread = stored(inside.withColumn("other", F.explode(other)).select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id"), "near-tiles")
+    classes = stored(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.any_value("words").alias("words"), F.any_value("bands").alias("bands")), "near-classes")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    wanted = texts.join(spread.select("id").distinct().hint("merge"), "id", "left_semi")  # ids grow with the documents: no size to broadcast
-    tile_key = ["band", "key", "i", "j"]
-    tiles = spread.join(wanted, "id").select(*tile_key, "id", "text").repartition(*tile_key).sortWithinPartitions(*tile_key)
-    reached = components(edges(tiles, threshold, width), "near")
-    results = classes.select("h1", "h2", "id").join(reached, "id", "left").select("h1", "h2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("group_id"))
+
+    def verified(places: DataFrame, label: str) -> DataFrame:
+        spread = stored(places, f"near-{label}-tiles")
+        wanted = texts.join(spread.select("id").distinct().hint("merge"), "id", "left_semi")  # ids grow with the documents: no size to broadcast
+        tiles = spread.join(wanted, "id").select(*_TILE_KEY, "id", "text").repartition(*_TILE_KEY).sortWithinPartitions(*_TILE_KEY)
+        return edges(tiles, threshold, width)
+
+    def keyed(bands: Column, linked: DataFrame | None) -> DataFrame:
+        known = classes.where("id IS NOT NULL")
+        known = known.withColumn("component", F.col("id")) if linked is None else known.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return known.select("id", "component", "h1", "h2", "words", F.posexplode(bands).alias("band", "key"))
+
+    some = keyed(F.slice("bands", 1, first), None)
+    met = stored(distinct_buckets(some), "near-first")
+    linked = components(verified(star_tiles(some, met, tile), "first"), "near-first")
+    everything = keyed(F.col("bands"), linked)
+    settled = met.where(_blocks("members", "words", tile) == 1).select("members", "m1", "m2")  # all pairs were compared
+    open_ = stored(distinct_buckets(everything).join(settled, ["members", "m1", "m2"], "left_anti"), "near-open")
+    if not open_.isEmpty():
+        more = stored(verified(rest_tiles(everything, open_, tile), "rest"), "near-more")
+        linked = components(linked.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), "near")
+    results = classes.select("h1", "h2", "id").join(linked, "id", "left").select("h1", "h2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("group_id"))
     results = stored(results, "near-results")
     joined = own.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("h1")).alias("h1"), "h2").join(results, ["h1", "h2"], "left")
     group = F.coalesce("group_id", "doc_id")

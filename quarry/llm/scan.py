@@ -6,7 +6,7 @@ inside a longer character, so byte runs and character runs agree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _WORD = ~_SPACE
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 5
-_BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = []
+_STEP = _U(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a little-endian number
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -30,21 +29,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            tables.append(np.multiply.accumulate(steps))
-        _powers[:] = tables
-    return _powers
-
-
-def powers(n: int) -> np.ndarray:
-    """The first ``n`` powers of an odd base modulo 2**64."""
-    return _power_tables(n)[0][:n]
+def folded(value: Callable[[np.ndarray, np.ndarray], np.ndarray], count: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of 64-bit numbers: ``value(run, k)`` is the k-th number of each of some runs.
+
+    Numbers are mixed in one after another, eight to a block, and the blocks' hashes in
+    turn, so that a run's hash depends on nothing but its numbers.
+    """
+    out = np.zeros(len(count), np.uint64)
+    blocks = -(-count // 8)
+    first = np.cumsum(blocks) - blocks
+    run = np.repeat(np.arange(len(count)), blocks) if blocks.max(initial=0) > 1 else np.flatnonzero(blocks)
+    place = (np.arange(len(run)) - first[run]) * 8
+    left = count[run] - place
+    h = np.zeros(len(run), np.uint64)
+    for k in range(min(8, int(left.max(initial=0)))):
+        on = np.flatnonzero(left > k) if k else slice(None)
+        h[on] = mixed(h[on] * _STEP + value(run[on], place[on] + k))
+    out[run[place == 0]] = h[place == 0]
+    long = np.flatnonzero(blocks > 1)
+    if len(long):
+        out[long] = folded(lambda r, k: h[first[long[r]] + k], blocks[long])
+    return out
 
 
 _LETTER = np.zeros(256, bool)
@@ -68,7 +73,7 @@ class Texts:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _WORD):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
-        self._prefix: np.ndarray | None = None
+        self._wide: np.ndarray | None = None
         self._at: np.ndarray | None = None  # of characters
         word = inside[data]
         first, last = word.copy(), word.copy()
@@ -85,11 +90,15 @@ class Texts:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte ranges, alike wherever the same bytes stand."""
-        power, inverse = _power_tables(len(self.data) + 1)
-        if self._prefix is None:
-            self._prefix = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE_CODES[self.data] * power[: len(self.data)], out=self._prefix[1:])
-        return mixed((self._prefix[ends] - self._prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        if self._wide is None:
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._wide = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        sizes = ends - starts
+
+        def value(run: np.ndarray, k: np.ndarray) -> np.ndarray:
+            return self._wide[starts[run] + 8 * k] & _MASKS[np.minimum(sizes[run] - 8 * k, 8)]
+
+        return mixed(folded(value, -(-sizes // 8)) + sizes.astype(np.uint64))
 
     def letters(self) -> Texts:
         """The same texts in lower case, with runs of letters as words."""

@@ -60,13 +60,13 @@ def corpus(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
 
 
-@pytest.mark.parametrize("tile", [512, 4])
-def test_groups_match_brute_force(corpus, tile):
+@pytest.mark.parametrize(("tile", "first"), [(512, 5), (4, 5), (3, 1)])
+def test_groups_match_brute_force(corpus, tile, first):
     rows, docs = corpus
     bags = {i: bag(t) for i, t in rows}
     ids = sorted(bags)
     want = groups([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if near(bags[a], bags[b])], ids)
-    got = near_dedup.grouped(docs, tile=tile).collect()
+    got = near_dedup.grouped(docs, tile=tile, first=first).collect()
     assert len(got) == len(rows)
     assert {r.doc_id: r.group_id for r in got} == want
     assert all(r.kept == (r.doc_id == r.group_id) for r in got)
@@ -164,6 +164,43 @@ def test_no_vectors(spark):
 def test_repeated_ids_do_not_make_buckets_equal(spark):
     hashed = {"1a": (11, 21), "1b": (12, 25), "2a": (13, 28), "2b": (99, 31), "3": (70, 81)}
     buckets = {(0, 5): ("1a", "1b", "3"), (1, 6): ("2a", "2b", "3"), (2, 7): ("2a", "2b", "3"), (3, 8): ("3",)}
-    rows = [(int(k[0]), *hashed[k], *b) for b, own in buckets.items() for k in own]
-    keyed = spark.createDataFrame(rows, "id long, h1 long, h2 long, band int, key long")
-    assert {tuple(r) for r in near_dedup.distinct_buckets(keyed).collect()} == {(0, 5, 3), (1, 6, 3)}
+    rows = [(int(k[0]), int(k[0]), *hashed[k], 9, *b) for b, own in buckets.items() for k in own]
+    keyed = spark.createDataFrame(rows, "id long, component long, h1 long, h2 long, words long, band int, key long")
+    assert {(r.band, r.key, r.members, r.id) for r in near_dedup.distinct_buckets(keyed).collect()} == {(0, 5, 3, 1), (1, 6, 3, 2)}
+
+
+def test_hash_twins_are_two_classes(spark):
+    """Words and texts that agree under every polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    word = lambda a, b: "".join(b if x else a for x in bits)
+    rows = [(1, word("a", "b")), (2, word("b", "a")), (3, " ".join(word("p", "q"))), (4, " ".join(word("q", "p")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in near_dedup.grouped(docs).collect()} == {(k, k) for k in range(1, 5)}
+    assert {r.group_id for r in near_dedup.grouped(docs.where("doc_id < 3")).collect()} == {1, 2}
+    (_, _, t), = scan.texts_of(pa.array([rows[0][1] + " " + rows[1][1]]))
+    assert len(set(t.word_hashes().tolist())) == 2
+
+
+def test_hashes_depend_on_the_bytes_alone():
+    r = random.Random(4)
+    parts = [bytes(r.randrange(33, 127) for _ in range(n)).decode() for n in [1, 7, 8, 9, 63, 64, 65, 511, 512, 513, 5000]]
+    (_, _, t), = scan.texts_of(pa.array([" ".join(parts), "  " + " ".join(reversed(parts))]))
+    h = t.word_hashes().tolist()
+    assert h[: len(parts)] == h[len(parts) :][::-1] and len(set(h)) == len(parts)
+    for k, x in enumerate(parts):
+        (_, _, alone), = scan.texts_of(pa.array([x]))
+        assert alone.word_hashes().tolist() == [h[k]]
+
+
+def test_tile_rows_grow_with_the_near_copies(spark, monkeypatch):
+    """Texts of one family, that many buckets share: rows sent to tiles are in proportion to the texts."""
+    counts = []
+    real = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, label: (out := real(df, label), counts[-1].__setitem__(label, out.count()) if label.endswith("-tiles") else None)[0])
+    for n in (300, 900):
+        counts.append({})
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(family(77, n, 5))], "doc_id long, text string")
+        got = near_dedup.grouped(docs, tile=32).collect()
+        assert {r.group_id for r in got} == {0}
+    few, many = (sum(c.values()) for c in counts)
+    assert many < 4 * few and many < 8 * 900
