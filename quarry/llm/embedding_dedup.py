@@ -20,18 +20,35 @@ from pyspark.sql import functions as F
 from quarry.llm.scan import mixed
 from quarry.llm.shared import components, over_batches, stored, tuned
 
-#: At cosine 0.93 a pair shares one of the buckets with probability 0.9995, and closer
-#: pairs more surely; at cosine 0 it shares a given one with probability 0.003.
-TABLES, HASHES, WIDTH, SEED = 25, 6, 1.5, 41
+#: Cells are WIDTH wide. The hashes of a table grow with the logarithm of the vectors, so
+#: that about MATES of them share a bucket by chance; the tables, so that a pair at the
+#: threshold shares none of its buckets with probability MISS (closer pairs still less).
+WIDTH, MATES, MISS, LEAST_HASHES, SEED = 1.5, 16, 0.0005, 6, 41
 TILE = 1024
 
 
+def agreement(cosine: float, width: float = WIDTH) -> float:
+    """The probability that unit vectors of this cosine share a cell of one projection."""
+    apart = math.sqrt(2 - 2 * cosine)
+    if not apart:
+        return 1.0
+    t = width / apart
+    return math.erf(t / math.sqrt(2)) - math.sqrt(2 / math.pi) / t * (1 - math.exp(-t * t / 2))
+
+
+def sizes(n: int, threshold: float, width: float = WIDTH) -> tuple[int, int]:
+    """(tables, hashes of each) for ``n`` vectors that are compared with each other."""
+    hashes = max(LEAST_HASHES, math.ceil(math.log(max(n, 1) / MATES) / -math.log(agreement(0.0, width))))
+    shared = agreement(threshold, width) ** hashes
+    return (math.ceil(math.log(MISS) / math.log1p(-shared)) if shared < 1 else 1), hashes
+
+
 def _projections(dim: int, tables: int, hashes: int, width: float) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng([SEED, dim])
     return random.standard_normal((dim, tables * hashes)), random.uniform(0, width, tables * hashes)
 
 
-def signatures(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH) -> np.ndarray:
+def signatures(vectors: np.ndarray, tables: int, hashes: int, width: float = WIDTH) -> np.ndarray:
     """One 32-bit bucket number for each unit vector and table."""
     a, b = _projections(vectors.shape[1], tables, hashes, width)
     cells = np.floor((vectors @ a + b) / width).astype(np.int64).astype(np.uint64).reshape(len(vectors), tables, hashes)
@@ -58,57 +75,66 @@ def _linked(left: dict, right: dict, table: int, threshold: float, same: bool) -
     hit = left["v"] @ right["v"].T >= threshold
     if same:
         np.fill_diagonal(hit, False)
-    least = [left["id"].copy(), right["id"].copy()]
-    while hit.any():
-        far = np.iinfo(np.int64).max
-        new_r = np.minimum(least[1], np.where(hit, least[0][:, None], far).min(0))
-        if same:
-            new_r = np.minimum(new_r, least[0])
-        new_l = np.minimum(least[0], np.where(hit, new_r[None, :], far).min(1))
-        if same:
-            new_r = new_l = np.minimum(new_l, new_r)
-        if (new_l == least[0]).all() and (new_r == least[1]).all():
+    i, j = np.nonzero(hit)
+    if not len(i):
+        return {}
+    low_l = left["id"].copy()
+    low_r = low_l if same else right["id"].copy()
+    while True:
+        before = low_l.copy(), low_r.copy()
+        np.minimum.at(low_l, i, low_r[j])
+        np.minimum.at(low_r, j, low_l[i])
+        if (low_l == before[0]).all() and (low_r == before[1]).all():
             break
-        least = [new_l, new_r]
-    for t in range(table):  # counted there already
-        hit &= left["sig"][:, t][:, None] != right["sig"][:, t][None, :]
+    for t in range(table):  # pairs that share an earlier bucket are counted there
+        new = left["sig"][i, t] != right["sig"][j, t]
+        i, j = i[new], j[new]
     out: dict[int, list] = {}
-    counts = [hit @ right["n"], None if same else hit.T @ left["n"]]
-    for side, count, low in zip((left, right), counts, least, strict=True):
-        if count is not None:
-            for i in np.flatnonzero((count > 0) | (low != side["id"])):
-                got = out.setdefault(int(side["id"][i]), [0, int(low[i])])
-                got[0] += int(count[i])
-                got[1] = min(got[1], int(low[i]))
+    sides = [(left, np.bincount(i, right["n"][j], len(left["id"])), low_l)]
+    if not same:
+        sides.append((right, np.bincount(j, left["n"][i], len(right["id"])), low_r))
+    for side, count, low in sides:
+        for k in np.flatnonzero((count > 0) | (low != side["id"])):
+            got = out.setdefault(int(side["id"][k]), [0, int(low[k])])
+            got[0] += int(count[k])
+            got[1] = min(got[1], int(low[k]))
     return out
 
 
-def links(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, tile: int = TILE) -> DataFrame:
-    """(id, links, least) rows: partial counts and edges of classes ``vectors`` (id, label, vec, n)."""
+def links(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None, hashes: int | None = None, width: float = WIDTH, tile: int = TILE) -> DataFrame:
+    """(id, links, least) rows: partial counts and edges of classes ``vectors`` (id, label, vec, n).
+
+    ``tables`` and ``hashes`` follow the largest number of vectors of a label and dimension
+    (``sizes``) unless given. Buckets and tiles are made of row numbers; vectors join them last.
+    """
     tuned(vectors.sparkSession)
+    if tables is None or hashes is None:
+        most = vectors.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        tables, hashes = sizes(most or 1, threshold, width)
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column(batch.schema.get_field_index("vec"))
-        sizes, values = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        sig = np.zeros((len(sizes), tables), np.int32)
-        for dim in np.unique(sizes):
-            rows = np.flatnonzero(sizes == dim)
+        lengths, values = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        sig = np.zeros((len(lengths), tables), np.int32)
+        for dim in np.unique(lengths):
+            rows = np.flatnonzero(lengths == dim)
             flat = values[(starts[rows][:, None] + np.arange(dim)).ravel()]
             sig[rows] = signatures(_unit(flat, dim), tables, hashes, width)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * tables), pa.array(sig.ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * tables), pa.array(sig.ravel()))
         return pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "sig"])
 
     kind = vectors.schema["vec"].dataType.simpleString()
-    signed = stored(over_batches(vectors, sign, f"id long, label {vectors.schema['label'].dataType.simpleString()}, vec {kind}, n long, sig array<int>"), "vec-signed")
-    rows = signed.select("*", F.posexplode("sig").alias("table", "bucket")).withColumn("dim", F.size("vec"))
+    made = over_batches(vectors, sign, f"id long, label {vectors.schema['label'].dataType.simpleString()}, vec {kind}, n long, sig array<int>")
+    signed = stored(made.withColumn("row", F.monotonically_increasing_id()), "vec-signed")  # row numbers are fixed from here
+    rows = signed.select("row", "label", F.size("vec").alias("dim"), F.posexplode("sig").alias("table", "bucket"))
     key = ["label", "dim", "table", "bucket"]
-    sizes = stored(rows.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1"), "vec-buckets")
-    full = rows.join(sizes, key)
+    shared = rows.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / tile).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    tiles = full.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "vec", "sig")
+    own = F.pmod(F.xxhash64("row"), blocks).cast("int")
+    tiles = rows.join(shared, key).withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row")
+    tiles = tiles.join(signed.select("row", "id", "n", "vec", "sig"), "row").drop("row")
     tile_key = [*key, "i", "j"]
     sorted_tiles = tiles.repartition(*tile_key).sortWithinPartitions(*tile_key)
     fields = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
@@ -163,7 +189,7 @@ def deduplicated(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
     kind = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
     plain = F.transform(v, lambda x: x.cast(kind) + F.lit(0).cast(kind))  # -0.0 becomes 0.0
     base = vectors.select(F.col(vec_id).alias("vec_id"), F.when(usable(v) & F.col(label).isNotNull(), plain).alias("vec"), F.col(label).alias("label"))
-    name = F.when(F.col("vec").isNotNull(), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("vec").cast("array<string>")), 256))
+    name = F.when(F.col("vec").isNotNull(), F.sha2(F.to_json(F.struct("label", "vec")), 256))
     named = base.withColumn("name", name)
     classes = stored(named.where("name IS NOT NULL").groupBy("name").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value("vec").alias("vec")), "vec-classes")
     found = stored(links(classes.where("id IS NOT NULL").select("id", "label", "vec", "n"), threshold, **hashing), "vec-links")

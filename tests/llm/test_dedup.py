@@ -204,3 +204,32 @@ def test_tile_rows_grow_with_the_near_copies(spark, monkeypatch):
         assert {r.group_id for r in got} == {0}
     few, many = (sum(c.values()) for c in counts)
     assert many < 4 * few and many < 8 * 900
+
+
+def test_text_labels_do_not_run_into_vectors(spark):
+    rows = [(1, "a,1.0", [2.0]), (2, "a", [1.0, 2.0]), (3, "a", [1.0, 2.0]), (4, 'a"', [1.0, 2.0])]
+    got = embedding_dedup.deduplicated(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 0, 1), (2, 1, 2), (3, 1, 2), (4, 0, 4)]
+
+
+def test_candidates_of_a_vector_grow_far_slower_than_the_vectors():
+    r, each = np.random.default_rng(1), []
+    for n in (5_000, 40_000):
+        v = r.normal(size=(n, 64))
+        sig = embedding_dedup.signatures(v / np.linalg.norm(v, axis=1, keepdims=True), *embedding_dedup.sizes(n, 0.93))
+        members = [np.unique(column, return_counts=True)[1] for column in sig.T]
+        each.append(sum(int((m * (m - 1)).sum()) for m in members) / n)
+    assert each[1] < 2.5 * each[0]
+
+
+@pytest.mark.parametrize("n", [1, 5_000, 10_000_000])
+def test_recall_at_the_threshold(n):
+    r, k = np.random.default_rng(2), 3000
+    a, b = r.normal(size=(2, k, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.93 * a + math.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    tables, hashes = embedding_dedup.sizes(n, 0.93)
+    x, y = embedding_dedup.signatures(a, tables, hashes), embedding_dedup.signatures(b, tables, hashes)
+    assert (x == y).any(1).mean() > 0.995
+    assert abs((embedding_dedup.signatures(a, 200, 1) == embedding_dedup.signatures(b, 200, 1)).mean() - embedding_dedup.agreement(0.93)) < 0.01
