@@ -9,7 +9,9 @@ The driver sees one count for each length and group; pieces find their place by
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,9 +26,18 @@ from quarry.llm.shared import over_batches, stored
 CAPACITY, END_ID = 2048, 0
 #: Pieces of a length are ranked in groups of about 1/GROUPS of all, however common the length.
 GROUPS = 4096
-#: Fixed value: how byte-level BPE files of this kind split a text before merging.
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PLAIN = re.compile("[\x00-ɏ]*").fullmatch
+#: Characters up to here are classed by tables; texts with others are split by the tokenizer itself.
+LAST = 0x24F
+#: Pieces of a text, of so many characters at most, whose ids an encoder remembers; then it begins anew.
+REMEMBERED, LONGEST = 1 << 17, 32
+
+
+def _splitter() -> re.Pattern:
+    """How byte-level BPE files with their usual rule split a text of characters up to LAST before merging."""
+    kind = lambda letter: "".join(f"\\u{i:04x}" for i in range(LAST + 1) if unicodedata.category(chr(i))[0] == letter)
+    letters, numbers, spaces = kind("L"), kind("N"), r"\t\n\x0b\x0c\r \x85\xa0"
+    # fixed value: the rule, with its classes written out
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
 
 
 def _byte_names() -> dict[str, int]:
@@ -36,37 +47,62 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _by_rank(tokenizer, model: dict):  # noqa: ANN001, ANN202
+    """A tiktoken encoder that merges pieces by the tokens' ids, or None where that may differ from the file's merges.
+
+    The two agree if merges make tokens in the order of their ids, one merge a token, and
+    each token alone comes out as itself. For then, where two neighbours make up a token
+    t, all merges so far within t's stretch are those that t alone undergoes, and the next
+    of these joins the two.
+    """
+    import tiktoken
+
+    vocabulary, names = model["vocab"], _byte_names()
+    made = [vocabulary.get("".join(x) if isinstance(x, list) else x.replace(" ", "", 1)) for x in model["merges"]]
+    ordered = None not in made and all(a < b for a, b in zip(made, made[1:], strict=False))
+    whole = ordered and all(c in names for token in vocabulary for c in token) and len(made) + 256 == len(vocabulary)
+    if not whole or any(len(tokenizer.model.tokenize(token)) != 1 for token in vocabulary):
+        return None
+    ranks = {bytes(names[c] for c in token): i for token, i in vocabulary.items()}
+    return tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Ids of whole texts by a ``tokenizers`` file, without added special tokens.
 
-    Texts of Latin letters without special tokens go through tiktoken with the same
-    vocabulary, which is faster; a first sample must agree, else all go the plain way.
+    Where the file has the usual byte-level rule, a text of Latin letters without special
+    tokens is split here, and each distinct piece is merged once: pieces are merged one by
+    one, so that a piece's ids are the same in any text.
     """
 
     def __init__(self, path: str):
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
         self.special = [x.content for x in self.plain.get_added_tokens_decoder().values()]
-        names = _byte_names()
-        try:
-            ranks = {bytes(names[c] for c in token): i for token, i in self.plain.get_vocab(with_added_tokens=False).items()}
-            self.fast = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        except (KeyError, ValueError):  # not byte-level
-            self.fast = None
-        self.unsure = 20
+        own = json.loads(self.plain.to_str())
+        rule, model = own["pre_tokenizer"] or {}, own["model"]
+        usual = rule.get("type") == "ByteLevel" and not rule.get("add_prefix_space") and rule.get("use_regex", True) and own["normalizer"] is None
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        self.split = _splitter() if usual and plain else None
+        self.fast = _by_rank(self.plain, model) if self.split else None
+        self.simple = re.compile(f"[\0-{chr(LAST)}]*").fullmatch
+        self.known: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.fast.encode_ordinary(piece) if self.fast else self.plain.encode(piece, add_special_tokens=False).ids
+        ids = np.array(ids, "<u4").tobytes()
+        if len(piece) <= LONGEST:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[piece] = ids
+        return ids
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None and _PLAIN(text) and not any(x in text for x in self.special):
-            ids = self.fast.encode_to_numpy(text, disallowed_special=())
-            if self.unsure > 0:
-                self.unsure -= 1
-                if ids.tolist() != self.plain.encode(text, add_special_tokens=False).ids:
-                    self.fast = None
-                    return self(text)
-            return ids
-        return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        if self.split is None or not self.simple(text) or any(x in text for x in self.special):
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        find, piece = self.known.get, self._piece
+        return np.frombuffer(b"".join([find(x) or piece(x) for x in self.split.findall(text)]), "<u4")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:

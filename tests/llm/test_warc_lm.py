@@ -2,15 +2,17 @@ import gzip
 import hashlib
 import io
 import math
+import os
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.llm import attention, lm_scoring, warc
+from quarry.llm import attention, lm_scoring, passages, warc
 from quarry.llm.queries import tokenizer_file
 from tests import oracle
 from tests.llm.conftest import words
@@ -90,6 +92,8 @@ def test_faults_are_found(fault):
 def test_gradients():
     c = attention.classes([np.array([1, 2, 3, 4, 5, 6, 7] * 20)], 50)
     m = attention.Model(c)
+    r = np.random.default_rng(1)
+    m.top, m.leaf = r.normal(size=m.top.shape) / 5, r.normal(size=m.leaf.shape) / 5
     for k in attention._NAMES:
         setattr(m, k, getattr(m, k).astype(np.float64))
     inputs, targets, _ = attention.windows([np.array([1, 2, 3, 4, 5, 6, 7] * 6), np.array([5, 1])], c)
@@ -109,16 +113,18 @@ def test_probabilities_sum_to_one_and_are_causal():
     r = np.random.default_rng(0)
     c = attention.classes([r.integers(0, 300, 5000)], 300)
     m = attention.Model(c)
+    m.top, m.leaf = (r.normal(size=x.shape).astype(np.float32) for x in (m.top, m.leaf))
     start = r.integers(0, 300, 40)
+    before = c.inputs[start[-1]]
     # of all continuations by one id, the ends included: P(start + id...) / P(start...) sums to one
     inputs, _, _ = attention.windows([start], c)
     shown = m.forward(inputs)["shown"].reshape(-1, attention.WIDTH + 1)
     place = shown[24 + (40 - 24)]  # the input after all of ``start``
-    top = np.exp(place @ m.top)
+    top = np.exp(place @ m.top + c.top[before])
     top /= top.sum()
     total = 0.0
     for i in range(301):
-        leaf = np.exp(place @ m.leaf[c.group[i]])
+        leaf = np.exp(place @ m.leaf[c.group[i]] + c.leaf[before, c.group[i]])
         total += top[c.group[i]] * leaf[c.slot[i]] / leaf.sum() * math.exp(c.within[i])
     assert total == pytest.approx(1, abs=1e-3)
     other = start.copy()
@@ -182,26 +188,113 @@ def test_odd_rows_lm(spark, odd_docs, no_docs):
 def test_model_learns_from_texts_outside_the_sample(spark):
     rows = [(i, words(i, 60, 5000)) for i in range(120)]
     first = [r.doc_id for r in spark.createDataFrame(rows, "doc_id long, text string").where("doc_id < 100").orderBy(F.xxhash64(F.lit("sample"), "doc_id")).limit(3).collect()]
-    cats = [(i, t if i >= 100 or i in first else "the cat sat on the mat " * 10) for i, t in rows] + [(200, "the cat sat on the mat " * 10)]
+    cats = [(i, t if i >= 100 or i in first else "the cat sat on the mat " * 10) for i, t in rows] + [(200, "mat on the cat sat the " * 10)]
     score = lambda x: {r.doc_id: r.score for r in lm_scoring.scored(spark.createDataFrame(x, "doc_id long, text string").repartition(3), F.col("doc_id") < 100, tokenizer_file(), rows=3).collect()}
     without, learnt = score([*rows, cats[-1]]), score(cats)
     assert learnt[200] > without[200] + 1
 
 
-def test_each_training_window_is_passed_once(spark):
-    texts = [words(i, 40 + i, 300) for i in range(60)] + ["", None]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+def _ids_of(spark, texts, parts=1):
     encode = lm_scoring.Encoder(tokenizer_file())
-    own = [encode(t or "") for t in texts]
-    vocabulary = encode.plain.get_vocab_size()
+    own = [encode(lm_scoring._lower(t)) for t in texts]
+    kind = lm_scoring._kind(encode.plain.get_vocab_size() + 1)
+    return own, spark.createDataFrame([(x.astype(kind).tobytes(),) for x in own], "ids binary").repartition(parts), encode.plain.get_vocab_size()
+
+
+def test_counts_cover_all_training_ids_however_dealt_out(spark):
+    texts = [words(i, 40 + i, 300) for i in range(60)] + ["", None]
     found = []
     for parts in (1, 5):
-        ids = lm_scoring.encoded(docs.repartition(parts), tokenizer_file(), 4)
-        c = lm_scoring.classes_of(ids, vocabulary)
-        model, n = lm_scoring.passed(ids, attention.Model(c), 4)
-        assert n == len(attention.windows(own, c)[0])
-        found.append((c, attention.parameters(model)))
-    assert np.array_equal(found[0][0].inputs, found[1][0].inputs) and np.array_equal(found[0][0].within, found[1][0].within)
-    assert np.allclose(found[0][1], found[1][1], atol=1e-6)
-    counts = np.bincount(attention.flat(own, vocabulary), minlength=vocabulary + 1)
-    assert set(np.flatnonzero(found[0][0].inputs < attention.INPUT_IDS)) == set(np.argsort(-counts, kind="stable")[: attention.INPUT_IDS])
+        own, ids, vocabulary = _ids_of(spark, texts, parts)
+        found.append(lm_scoring.classes_of(ids, vocabulary))
+    a, b = found
+    assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("inputs", "group", "slot", "within", "top", "leaf"))
+    follow = Counter()
+    for x in own:
+        before = vocabulary
+        for i in [*x.tolist(), vocabulary]:
+            follow[a.inputs[before], a.group[i], a.slot[i]] += 1
+            before = i
+    row = attention.flat(own, vocabulary)
+    got = attention.pairs(row, a).reshape(a.n_inputs, attention.CLASSES, attention.SLOTS)
+    assert got.sum() == len(row) and all(got[k] == n for k, n in follow.items())
+
+
+def test_cuts_and_hashes_follow_the_ids_alone():
+    r = np.random.default_rng(3)
+    passage = r.integers(0, 5000, 400)
+    texts = [np.concatenate([r.integers(0, 5000, n), passage, r.integers(0, 5000, 7)]) for n in (0, 1, 50)] + [np.zeros(0, np.int64)]
+    row = attention.flat(texts, 60_000)
+    stops = np.cumsum([len(x) + 1 for x in texts])
+    starts, hashes = passages.cut(row, stops - 1, 60_000)
+    bounds = [*starts.tolist(), len(row)]
+    stretches = [tuple(row[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert sum(map(len, stretches)) == len(row) and set(stops - 1) <= {b - 1 for b in bounds}
+    assert len(set(stretches)) == len(set(hashes.tolist())) == len(set(zip(stretches, hashes.tolist(), strict=True)))
+    shared = [s for s, n in Counter(stretches).items() if n == 3]
+    assert sum(map(len, shared)) > 250
+
+
+def _plainly_scored(rows, train, model, vocabulary, encode):
+    """Scores by loops over places and dictionaries."""
+    c = model.classes
+    soft = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+    texts = [[*encode(lm_scoring._lower(t)).tolist(), vocabulary] for _, t in rows]
+
+    def logs(ids):
+        seen, out = [vocabulary, *ids[:-1]], []
+        for p, i in enumerate(ids):
+            low = max(0, p // attention.STRIDE * attention.STRIDE - (attention.WINDOW - attention.STRIDE))
+            h = [model.embed[c.inputs[x]].astype(float) for x in seen[low : p + 1]]
+            a = np.array([h[-1] @ model.query @ (x @ model.key) / math.sqrt(attention.WIDTH) + model.bias[len(h) - 1 - k] for k, x in enumerate(h)])
+            z = np.exp(soft(a)) @ np.array([x @ model.value for x in h])
+            before = model.embed[c.inputs[seen[p - 1]]] if p > low or low else model.embed[-1]
+            mid = h[-1] + z @ model.out + before @ model.shift
+            top = mid + np.maximum(np.append(mid, 1) @ model.up, 0) @ model.down
+            shown = np.append(top / math.sqrt((top**2).mean() + 1e-5), 1)
+            k, at = c.group[i], c.inputs[seen[p]]
+            out.append(soft(shown @ model.top + c.top[at])[k] + soft(shown @ model.leaf[k] + c.leaf[at, k])[c.slot[i]] + c.within[i])
+        return out
+
+    def stretches(ids):
+        flat = np.array(ids)
+        bounds = [*passages.cut(flat, np.array([len(ids) - 1]), vocabulary)[0].tolist(), len(ids)]
+        return list(zip(bounds, bounds[1:], strict=False))
+
+    cuts = [[tuple(x[a:b]) for a, b in stretches(x)] for x in texts]
+    counts = Counter(s for (i, _), own in zip(rows, cuts, strict=True) if train(i) for s in own)
+    n, v = sum(counts.values()), len(counts)
+    once, twice = (sum(k == x for x in counts.values()) for k in (1, 2))
+    d = min(max(once / max(once + 2 * twice, 1), passages.LEAST), passages.MOST)
+    out = []
+    for (i, _), ids, own in zip(rows, texts, cuts, strict=True):
+        p, mine, score = np.exp(logs(ids)), Counter(own), 0.0
+        for (a, b), s in zip(stretches(ids), own, strict=True):
+            others = counts[s] - (mine[s] if train(i) else 0)
+            score += math.log10(max(others - d, 0) * (others > 0) / n + d * v / n * p[a:b].prod())
+        out.append((i, score))
+    return out
+
+
+def test_score_matches_plain_loops(spark, monkeypatch):
+    rows = [(i, words(i % 9, 12 + i % 5, 60)) for i in range(40)] + [(40, None), (41, ""), (42, "Ünd more ✓")]
+    rows += [(43, words(77, 90, 200)), (44, words(77, 90, 200)), (45, words(77, 90, 200) + " tail")]
+    kept, real = [], attention.trained
+    monkeypatch.setattr(attention, "trained", lambda texts, c: kept.append(real(texts, c, steps=40)) or kept[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm_scoring.scored(docs, F.col("doc_id") % 4 != 0, tokenizer_file()).collect()}
+    encode = lm_scoring.Encoder(tokenizer_file())
+    for i, want in _plainly_scored(rows, lambda i: i % 4 != 0, kept[0], encode.plain.get_vocab_size(), encode):
+        assert got[i] == pytest.approx(want, rel=2e-4, abs=2e-3), i
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_held_out_texts_score_above_the_base_and_copies_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    out = lm_scoring.scored(docs, ~held_out, tokenizer_file()).join(docs, "doc_id").select("*", held_out.alias("held"), F.count("*").over(Window.partitionBy("text")).alias("copies")).where("n_tokens > 30").toPandas()
+    held = out[out.held]
+    assert held.score.sum() > held.base_score.sum()
+    each = out.score / out.n_tokens
+    bound = each[out.copies == 1].quantile(0.9)
+    assert (each[out.copies > 1] > bound).mean() > 0.75
