@@ -222,13 +222,41 @@ def test_commands(spark, filled, found):
     assert len(api.sql(c, "SELECT name FROM symbols UNION SELECT name FROM packages", 500)) > 3
     with pytest.raises(ValueError):
         api.sql(c, "SELECT name FROM symbols", 1)
-    for bad in ("DROP TABLE symbols", "INSERT INTO symbols VALUES (1)", "CREATE TABLE t AS SELECT 1", "SET x = 1"):
-        with pytest.raises(guarded.Refused):
-            api.sql(c, bad)
+    with pytest.raises(guarded.Refused):
+        api.sql(c, "DROP TABLE symbols")
     assert api.sql(c, "SELECT 1 AS x, 2 AS x").columns == ["x", "x__2"]
     assert "symbols" in api.schema(c)
 
 
+@pytest.mark.parametrize(
+    "bad",
+    [
+        "DROP TABLE symbols", "INSERT INTO symbols VALUES (1)", "CREATE TABLE t AS SELECT 1", "SET x = 1", "CACHE TABLE symbols",
+        "WITH t AS (SELECT 7 AS a) INSERT INTO kept SELECT * FROM t", "FROM symbols INSERT INTO kept SELECT 7 INSERT INTO kept SELECT 8", "EXPLAIN INSERT INTO kept VALUES (7)",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT name FROM symbols WHERE name = (SELECT java_method('java.lang.System', 'lineSeparator'))",
+        "SELECT * FROM parquet.`/tmp`", "SELECT 1 WHERE EXISTS (SELECT * FROM parquet.`/tmp`)", "WITH x AS (SELECT * FROM kept) SELECT * FROM x", "SELECT * FROM spark_catalog.default.kept",
+    ],
+)
+def test_sql_only_reads(spark, bad):
+    spark.sql("CREATE TABLE IF NOT EXISTS kept (a INT) USING parquet")
+    views = {"symbols": spark.createDataFrame([("a",)], "name string")}
+    with pytest.raises(guarded.Refused):
+        guarded.read_only(spark, bad, views)
+    assert spark.table("kept").count() == 0
+
+
+def test_sql_reads_and_leaves_views_as_they_were(spark):
+    own, given = spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([("a", 2), ("b", 3)], "name string, n int")
+    own.createOrReplaceTempView("symbols")
+    run = lambda text: guarded.read_only(spark, text, {"symbols": given, "other": given}).collect()
+    assert [tuple(r) for r in run("WITH t AS (SELECT max(n) AS m FROM Symbols) SELECT name FROM symbols, t WHERE n = m;")] == [("b",)]
+    assert run("SELECT (SELECT count(*) FROM other) AS n, s.name FROM symbols s JOIN LATERAL (SELECT s.n + 1 AS k) ORDER BY ALL")[1].n == 2
+    assert len(run("SELECT * FROM range(3) UNION ALL SELECT n FROM symbols GROUP BY n HAVING n > 2")) == 4
+    assert len(run("EXPLAIN SELECT name FROM symbols")) == 1
+    assert spark.table("symbols").columns == ["a"] and not spark.catalog.tableExists("other")
+    spark.catalog.dropTempView("symbols")
+
+
 def test_output():
     rows = [{"a": "x\ty\nz", "b": b"\x01\xff", "c": float("nan")}]
     assert api.printed(rows, "tsv") == "a\tb\tc\nx y z\thex:01ff\tnan"
