@@ -7,25 +7,38 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Used only on one machine, where the session names no folder.
 LOCAL_SHARED = "file:/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (single-machine tests) a local one is used.
+    Only a session on one machine does without that setting; on a cluster its lack is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or LOCAL_SHARED).rstrip("/")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and
     a lost executor costs nothing that was already written."""
+    return _written(df, label)[0]
+
+
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def reached(start: DataFrame, edges: DataFrame, hops: int = -1) -> DataFrame:
@@ -75,10 +88,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Only a count and a checksum of a round reach the driver. Nodes without an edge to
     another node are absent; repeated edges and loops do no harm.
     """
-    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
+    now, path = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     mark = None
     while True:
-        now = stored(_stars(_stars(now, small=False), small=True), label)
+        before, (now, path) = path, _written(_stars(_stars(now, small=False), small=True), label)
+        _dropped(now.sparkSession, before)
         got = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if got == mark:
             nodes = now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -246,18 +246,9 @@ def left_count_keep_empty(s, d):
     return T(s, d, "customer").select("c_custkey").join(counts, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("edge_walk", "SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 200")
+@query("edge_walk", "SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
 def edge_walk(s, d):
-    return _edge_walk(s, d, "l_orderkey < 200")
-
-
-@query("edge_walk_all", "SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
-def edge_walk_all(s, d):
-    return _edge_walk(s, d, "true")
-
-
-def _edge_walk(s, d, some: str) -> DataFrame:
-    lines = T(s, d, "lineitem").where(some)
+    lines = T(s, d, "lineitem")
     return lines.join(T(s, d, "part"), lines.l_partkey == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "p_name")
 
 
@@ -269,29 +260,14 @@ def dangling_edges(s, d):
 
 @query(
     "tiered_resolution",
-    """WITH refs AS (SELECT DISTINCT p_name AS ref FROM part WHERE p_size = 3 UNION SELECT DISTINCT p_type FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT 'absent'),
-       hits AS (SELECT ref, p_partkey, 1 AS tier FROM refs JOIN part ON p_name = ref AND p_size < 9 UNION ALL SELECT ref, p_partkey, 2 FROM refs JOIN part ON p_type = ref AND p_size < 3
-                UNION ALL SELECT ref, p_partkey, 3 FROM refs JOIN part ON p_brand = ref UNION ALL SELECT ref, NULL, 9 FROM refs)
-       SELECT ref, p_partkey, tier FROM (SELECT *, min(tier) OVER (PARTITION BY ref) AS m FROM hits) WHERE tier = m""",
-)
-def tiered_resolution(s, d):
-    return _tiered_resolution(s, d, "p_size = 3")
-
-
-@query(
-    "tiered_resolution_all",
     """WITH refs AS (SELECT DISTINCT p_name AS ref FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT 'absent'),
        hits AS (SELECT ref, p_partkey, 1 AS tier FROM refs JOIN part ON p_name = ref AND p_size < 9 UNION ALL SELECT ref, p_partkey, 2 FROM refs JOIN part ON p_type = ref AND p_size < 3
                 UNION ALL SELECT ref, p_partkey, 3 FROM refs JOIN part ON p_brand = ref UNION ALL SELECT ref, NULL, 9 FROM refs)
        SELECT ref, p_partkey, tier FROM (SELECT *, min(tier) OVER (PARTITION BY ref) AS m FROM hits) WHERE tier = m""",
 )
-def tiered_resolution_all(s, d):
-    return _tiered_resolution(s, d, "true")
-
-
-def _tiered_resolution(s, d, some: str) -> DataFrame:
+def tiered_resolution(s, d):
     parts = T(s, d, "part")
-    refs = parts.where(some).select(F.col("p_name").alias("ref")).union(parts.select("p_type")).union(parts.select("p_brand")).union(s.range(1).select(F.lit("absent"))).distinct()
+    refs = parts.select(F.col("p_name").alias("ref")).union(parts.select("p_type")).union(parts.select("p_brand")).union(s.range(1).select(F.lit("absent"))).distinct()
     hits = [
         refs.join(parts.where("p_size < 9"), F.col("ref") == F.col("p_name")).select("ref", "p_partkey", F.lit(1).alias("tier")),
         refs.join(parts.where("p_size < 3"), F.col("ref") == F.col("p_type")).select("ref", "p_partkey", F.lit(2).alias("tier")),
@@ -327,19 +303,10 @@ def j13_named_reexport(s, d):
     return T(s, d, "part").join(named, "p_partkey", "left").select("p_partkey", F.coalesce("s_name", F.concat(F.lit("stub::"), "p_name")).alias("target"))
 
 
-@query("j14_prefix_members", "SELECT a.n AS alias, b.p_partkey AS member FROM (SELECT DISTINCT p_brand, split_part(p_name, ' ', 1) AS n FROM part WHERE p_size = 9) a JOIN part b ON a.p_brand = b.p_brand AND starts_with(b.p_name, a.n || ' ')")
+@query("j14_prefix_members", "SELECT a.n AS alias, b.p_partkey AS member FROM (SELECT DISTINCT p_brand, split_part(p_name, ' ', 1) AS n FROM part) a JOIN part b ON a.p_brand = b.p_brand AND starts_with(b.p_name, a.n || ' ')")
 def j14_prefix_members(s, d):
-    return _j14_prefix_members(s, d, "p_size = 9")
-
-
-@query("j14_prefix_members_all", "SELECT a.n AS alias, b.p_partkey AS member FROM (SELECT DISTINCT p_brand, split_part(p_name, ' ', 1) AS n FROM part) a JOIN part b ON a.p_brand = b.p_brand AND starts_with(b.p_name, a.n || ' ')")
-def j14_prefix_members_all(s, d):
-    return _j14_prefix_members(s, d, "true")
-
-
-def _j14_prefix_members(s, d, some: str) -> DataFrame:
     parts = T(s, d, "part")
-    aliases = parts.where(some).select("p_brand", F.substring_index("p_name", " ", 1).alias("alias")).distinct()
+    aliases = parts.select("p_brand", F.substring_index("p_name", " ", 1).alias("alias")).distinct()
     hit = parts.join(aliases, "p_brand").where(F.col("p_name").startswith(F.concat("alias", F.lit(" "))))
     return hit.select("alias", F.col("p_partkey").alias("member"))
 
@@ -570,25 +537,12 @@ def w2_internal_ids(s, d):
 
 @query(
     "name_pick_last_first",
-    """SELECT p_name, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY CASE WHEN p_size % 4 = 0 THEN 0 WHEN p_size % 4 = 1 THEN 1 WHEN p_size % 4 = 2 THEN 2 ELSE 3 END,
-       CASE WHEN p_size % 4 = 0 THEN -p_partkey ELSE p_partkey END) AS n FROM part WHERE p_size > 45) WHERE n = 1""",
-)
-def name_pick_last_first(s, d):
-    return _name_pick_last_first(s, d, "p_size > 45")
-
-
-@query(
-    "name_pick_last_first_all",
     """SELECT p_name, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY CASE WHEN p_size % 4 = 0 THEN 0 WHEN p_size % 4 = 1 THEN 1 WHEN p_size % 4 = 2 THEN 2 ELSE 3 END,
        CASE WHEN p_size % 4 = 0 THEN -p_partkey ELSE p_partkey END) AS n FROM part) WHERE n = 1""",
 )
-def name_pick_last_first_all(s, d):
-    return _name_pick_last_first(s, d, "true")
-
-
-def _name_pick_last_first(s, d, some: str) -> DataFrame:
+def name_pick_last_first(s, d):
     kinds = F.element_at(F.array(F.lit("TypeAliasDeclaration"), F.lit("ClassDeclaration"), F.lit("ModuleDeclaration"), F.lit("FunctionDeclaration")), (F.col("p_size") % 4 + 1).cast("int"))
-    return merge.picked(T(s, d, "part").where(some), ["p_name"], merge.name_order(kinds, F.col("p_partkey"))).select("p_name", "p_partkey")
+    return merge.picked(T(s, d, "part"), ["p_name"], merge.name_order(kinds, F.col("p_partkey"))).select("p_name", "p_partkey")
 
 
 @query(

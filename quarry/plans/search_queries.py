@@ -135,113 +135,55 @@ def evidence_truncated(s, d):
 
 # --- graphs (G1, G2, G5-G7) --------------------------------------------------------------
 
-_EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS src, l_suppkey % 7 + l_partkey % 9 AS dst FROM lineitem WHERE l_orderkey < 40)"
+_EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS src, l_suppkey % 7 + l_partkey % 9 AS dst FROM lineitem)"
 
 
-_ALL_EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS src, l_suppkey % 7 + l_partkey % 9 AS dst FROM lineitem)"
+def _edges(s, d) -> DataFrame:
+    return T(s, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") % 7 + F.col("l_partkey") % 9).alias("dst")).distinct()
 
 
-def _edges(s, d, some: str = "l_orderkey < 40") -> DataFrame:
-    lines = T(s, d, "lineitem").where(some)
-    return lines.select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") % 7 + F.col("l_partkey") % 9).alias("dst")).distinct()
-
-
-def _bfs(cap: int) -> str:
-    return f"""WITH RECURSIVE {_EDGES_SQL}, walk AS (SELECT DISTINCT src AS node, 0 AS depth FROM edges WHERE src < 20 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < {cap})
-    SELECT node, min(depth) AS depth FROM walk GROUP BY 1"""
+def _roots(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).distinct()
 
 
 def _hops(cap: int):
     def run(s, d):
         edges = _edges(s, d)
-        roots = edges.where("src < 20").select(F.col("src").alias("node")).distinct()
-        return iterate.reached(roots, edges, cap).groupBy("node").agg(F.min("depth").alias("depth"))
+        return iterate.reached(_roots(edges), edges, cap).groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
     return run
 
 
 for _cap in (0, 1, 3):
-    query(f"hop_bfs_{_cap}", _bfs(_cap))(_hops(_cap))
+    query(
+        f"hop_bfs_{_cap}",
+        f"""WITH RECURSIVE {_EDGES_SQL}, walk AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth FROM edges UNION SELECT w.root, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < {_cap})
+        SELECT root, node, min(depth) AS depth FROM walk GROUP BY 1, 2""",
+    )(_hops(_cap))
 
 
 @query(
     "closure",
-    f"""WITH RECURSIVE {_EDGES_SQL}, walk AS (SELECT DISTINCT src AS root, src AS node FROM edges WHERE src < 12 UNION SELECT w.root, e.dst FROM walk w JOIN edges e ON e.src = w.node) SELECT root, node FROM walk""",
+    f"""WITH RECURSIVE {_EDGES_SQL}, walk AS (SELECT DISTINCT src AS root, src AS node FROM edges UNION SELECT w.root, e.dst FROM walk w JOIN edges e ON e.src = w.node) SELECT root, node FROM walk""",
 )
 def closure(s, d):
     edges = _edges(s, d)
-    return iterate.reached(edges.where("src < 12").select(F.col("src").alias("node")).distinct(), edges).select("root", "node")
+    return iterate.reached(_roots(edges), edges).select("root", "node")
 
 
-@query(
-    "revisits",
-    f"""WITH RECURSIVE {_EDGES_SQL}, walk AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth FROM edges WHERE src < 12 UNION SELECT w.root, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 12),
-    seen AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY 1, 2) SELECT DISTINCT a.root, e.src, e.dst FROM seen a JOIN edges e ON e.src = a.node JOIN seen b ON b.root = a.root AND b.node = e.dst WHERE b.depth <= a.depth""",
-)
+@query("revisits", None)
 def revisits(s, d):
     edges = _edges(s, d)
-    seen = iterate.reached(edges.where("src < 12").select(F.col("src").alias("node")).distinct(), edges)
-    return iterate.revisits(seen, edges)
+    return iterate.revisits(iterate.reached(_roots(edges), edges), edges)
 
 
-@query(
-    "scope_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_orderkey < 30), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    reach AS (SELECT a AS id, a AS node FROM u UNION SELECT r.id, u.b FROM reach r JOIN u ON u.a = r.node) SELECT id, min(node) AS component FROM reach GROUP BY 1""",
-)
+@query("scope_components", None)
 def scope_components(s, d):
-    return _scope_components(s, d, "l_orderkey < 30")
-
-
-def _scope_components(s, d, some: str) -> DataFrame:
-    lines = T(s, d, "lineitem").where(some)
+    lines = T(s, d, "lineitem")
     edges = lines.select(F.concat(F.lit("p"), "l_partkey").alias("u"), F.concat(F.lit("s"), "l_suppkey").alias("v"))
     return iterate.components(edges)
 
 
-# the same over the whole edge table, from all roots
-
-
-def _roots(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node")).distinct()
-
-
-def _all_hops(cap: int):
-    def run(s, d):
-        edges = _edges(s, d, "true")
-        return iterate.reached(_roots(edges), edges, cap).groupBy("root", "node").agg(F.min("depth").alias("depth"))
-
-    return run
-
-
-for _cap in (0, 1, 3):
-    query(
-        f"hop_bfs_{_cap}_all",
-        f"""WITH RECURSIVE {_ALL_EDGES_SQL}, walk AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth FROM edges UNION SELECT w.root, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < {_cap})
-        SELECT root, node, min(depth) AS depth FROM walk GROUP BY 1, 2""",
-    )(_all_hops(_cap))
-
-
-@query(
-    "closure_all",
-    f"""WITH RECURSIVE {_ALL_EDGES_SQL}, walk AS (SELECT DISTINCT src AS root, src AS node FROM edges UNION SELECT w.root, e.dst FROM walk w JOIN edges e ON e.src = w.node) SELECT root, node FROM walk""",
-)
-def closure_all(s, d):
-    edges = _edges(s, d, "true")
-    return iterate.reached(_roots(edges), edges).select("root", "node")
-
-
-@query("revisits_all", None)
-def revisits_all(s, d):
-    edges = _edges(s, d, "true")
-    return iterate.revisits(iterate.reached(_roots(edges), edges), edges)
-
-
-@query("scope_components_all", None)
-def scope_components_all(s, d):
-    return _scope_components(s, d, "true")
-
-
 @query(
     "merge_scopes",
     """WITH RECURSIVE f AS (SELECT s_suppkey AS path, s_suppkey % 2 = 0 AS m FROM supplier), e AS (SELECT s_suppkey AS a, s_nationkey AS b FROM supplier WHERE s_suppkey % 2 = s_nationkey % 2 AND s_nationkey IN (SELECT path FROM f)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -259,17 +201,13 @@ def merge_scopes(s, d):
     "inherit_flatten",
     """WITH m AS (SELECT 'region' || r_regionkey AS parent, r_name AS leaf, 'r' || r_regionkey AS member FROM region UNION ALL SELECT 'nation' || s_nationkey, 'leaf' || s_suppkey % 5, 's' || s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0
       UNION ALL SELECT 'region' || n_regionkey, 'leaf' || n_nationkey % 5, 'n' || n_nationkey FROM nation),
-    above AS (SELECT 'customer' || c_custkey AS child, 'nation' || c_nationkey AS anc FROM customer WHERE c_custkey < 50 UNION SELECT 'customer' || c_custkey, 'region' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey < 50),
-    own AS (SELECT 'customer' || c_custkey AS child, 'leaf' || c_custkey % 5 AS leaf FROM customer WHERE c_custkey < 50)
+    above AS (SELECT 'customer' || c_custkey AS child, 'nation' || c_nationkey AS anc FROM customer UNION SELECT 'customer' || c_custkey, 'region' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    own AS (SELECT 'customer' || c_custkey AS child, 'leaf' || c_custkey % 5 AS leaf FROM customer)
     SELECT a.child, m.leaf, list_sort(list_distinct(list(m.member))) AS from_members FROM above a JOIN m ON m.parent = a.anc LEFT JOIN own o ON o.child = a.child AND o.leaf = m.leaf WHERE o.leaf IS NULL GROUP BY 1, 2""",
 )
 def inherit_flatten(s, d):
-    return _inherit_flatten(s, d, "c_custkey < 50")
-
-
-def _inherit_flatten(s, d, some: str) -> DataFrame:
     region, nation, supp = T(s, d, "region"), T(s, d, "nation"), T(s, d, "supplier")
-    customers = T(s, d, "customer").where(some)
+    customers = T(s, d, "customer")
     row = lambda parent, leaf, member, internal: [parent.alias("parent"), leaf.alias("leaf"), member.alias("member"), internal.alias("internal"), F.lit(0).alias("seq")]
     text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     leaf = lambda c: F.concat(F.lit("leaf"), (F.col(c) % 5).cast("string"))
@@ -282,18 +220,6 @@ def _inherit_flatten(s, d, some: str) -> DataFrame:
     return iterate.inherited(members, heritage).where("child LIKE 'customer%'").select("child", "leaf", "from_members")
 
 
-@query(
-    "inherit_flatten_all",
-    """WITH m AS (SELECT 'region' || r_regionkey AS parent, r_name AS leaf, 'r' || r_regionkey AS member FROM region UNION ALL SELECT 'nation' || s_nationkey, 'leaf' || s_suppkey % 5, 's' || s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0
-      UNION ALL SELECT 'region' || n_regionkey, 'leaf' || n_nationkey % 5, 'n' || n_nationkey FROM nation),
-    above AS (SELECT 'customer' || c_custkey AS child, 'nation' || c_nationkey AS anc FROM customer UNION SELECT 'customer' || c_custkey, 'region' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
-    own AS (SELECT 'customer' || c_custkey AS child, 'leaf' || c_custkey % 5 AS leaf FROM customer)
-    SELECT a.child, m.leaf, list_sort(list_distinct(list(m.member))) AS from_members FROM above a JOIN m ON m.parent = a.anc LEFT JOIN own o ON o.child = a.child AND o.leaf = m.leaf WHERE o.leaf IS NULL GROUP BY 1, 2""",
-)
-def inherit_flatten_all(s, d):
-    return _inherit_flatten(s, d, "true")
-
-
 @query("g2_edge_kinds", "SELECT c_custkey AS src, c_nationkey::BIGINT AS dst FROM customer UNION SELECT s_suppkey, s_nationkey FROM supplier UNION SELECT n_nationkey, n_regionkey FROM nation")
 def g2_edge_kinds(s, d):
     parts = [T(s, d, t).select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")) for t, a, b in (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey"), ("nation", "n_nationkey", "n_regionkey"))]

@@ -211,8 +211,8 @@ class Package:
         merged = self.merge(public)
         self.number(merged)
         self.connect(merged)
-        self.parents(merged)
         self.inherit(merged)
+        self.parents(merged)  # of inherited members, too: their parent is the heir
         self.roll_up(merged)
         return [{c: s.get(c) for c in COLUMNS} for s in merged]
 

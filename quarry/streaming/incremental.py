@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quarry.operators.iterate import stored
 from quarry.sources import packages
 from quarry.sources.catalog import Catalog
 
@@ -34,12 +35,9 @@ def index(files: DataFrame, catalog: Catalog, cache_key: str, checkpoint: str) -
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        try:
-            found = catalog.misses(packages.scan(batch), cache_key)
-            if not found.isEmpty():
-                catalog.save(found, packages.graphs(batch).join(found.select(F.col("name").alias("package"), "version"), ["package", "version"], "left_semi"), cache_key)
-        finally:
-            batch.unpersist()
+        batch = stored(batch, "landed")
+        found = catalog.misses(packages.scan(batch), cache_key)
+        if not found.isEmpty():
+            catalog.save(found, packages.graphs(batch).join(found.select(F.col("name").alias("package"), "version"), ["package", "version"], "left_semi"), cache_key)
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

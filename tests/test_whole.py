@@ -26,9 +26,9 @@ def test_walks_cover_all_edges(spark, tmp_path):
     edges = {(s, s % 7 + p % 9) for _, s, p in _lines(spark, tmp_path)}
     depths = _depths(edges)
     rows = lambda name: {tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
-    assert rows("closure_all") == set(depths)
-    assert rows("revisits_all") == {(r, a, b) for (r, a) in depths for x, b in edges if x == a and depths[r, b] <= depths[r, a]}
-    assert rows("hop_bfs_1_all") == {(r, n, k) for (r, n), k in depths.items() if k <= 1}
+    assert rows("closure") == set(depths)
+    assert rows("revisits") == {(r, a, b) for (r, a) in depths for x, b in edges if x == a and depths[r, b] <= depths[r, a]}
+    assert rows("hop_bfs_1") == {(r, n, k) for (r, n), k in depths.items() if k <= 1}
 
 
 def test_components_cover_all_edges(spark, tmp_path):
@@ -37,5 +37,5 @@ def test_components_cover_all_edges(spark, tmp_path):
     for _ in edges:
         for a, b in edges:
             least[a] = least[b] = min(least[a], least[b])
-    got = {tuple(r) for r in registry.QUERIES["scope_components_all"](spark, str(tmp_path)).select("id", "component").collect()}
+    got = {tuple(r) for r in registry.QUERIES["scope_components"](spark, str(tmp_path)).select("id", "component").collect()}
     assert got == set(least.items())
