@@ -21,6 +21,8 @@ from quarry.llm.shared import over_batches
 
 #: Bounds of the training sample, and hash buckets of features.
 SAMPLE_ROWS, SAMPLE_BYTES, FEATURE_BITS = 4_000, 12 << 20, 16
+#: Words of the sample's texts in the spliced sequences that the weights learn from, at most.
+SPLICED = 400_000
 AFFIXES, NGRAMS = (1, 2, 3), (2, 3)
 BLOCK = 32
 UNKNOWN = "und"
@@ -222,7 +224,7 @@ def fit(texts: pa.Array, langs: list[str], steps: int = 120, length: int = 48, s
     if not spans:
         return model
     order, now, total = [], 0, 0
-    while total < min(len(label), 400_000):
+    while total < min(len(label), SPLICED):
         if random.random() < 0.4:
             now = int(random.integers(len(spans)))
         low, high = spans[now][int(random.integers(len(spans[now])))]
@@ -284,8 +286,7 @@ def predict(t: scan.Texts, model: Model) -> tuple[list[str], np.ndarray, np.ndar
 def trained(docs: DataFrame, folds: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from at most ``rows`` texts with a language outside of the held-out fold."""
     in_fold = training.fold("doc_id", folds) != held_out
-    langs = docs.where("lang IS NOT NULL").select("doc_id", "lang")
-    got = training.sample(docs.where("lang IS NOT NULL").select("doc_id", "text"), langs, "lang", in_fold, rows, text_bytes)
+    got = training.sample(docs, None, "lang", in_fold, rows, text_bytes)
     model = fit(got["text"].combine_chunks(), got["lang"].to_pylist())
     training.released()
     return model

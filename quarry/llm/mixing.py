@@ -17,8 +17,9 @@ from quarry.llm.shared import stored
 MOST_AT_ONCE = 64
 #: Entries of an inverted distribution: beyond them its tail is under 1e-16.
 ENTRIES = 200
-#: With so many sources at most, their rates are broadcast (under 2 KB each); else joined.
-BROADCAST_SOURCES = 5_000
+#: With so many sources at most, their rates are broadcast (under 2 KB each); else each
+#: source's are joined in so many parts, so that a large source isn't one task's.
+BROADCAST_SOURCES, SALTS = 5_000, 64
 
 
 def _unit(*parts: Column) -> Column:
@@ -72,7 +73,12 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     found = found.select(F.col("source").alias("__source"), "rate", parts.alias("__parts")).withColumn("__cdf", _inverted(F.col("rate") / F.col("__parts")))
     added = {"copy", "n_copies", "rate", "order_key"}
     own = docs.select(*[docs[c] for c in docs.columns if c.lower() not in added])
-    joined = own.join(F.broadcast(found) if few else found, own[source].eqNullSafe(F.col("__source")))
+    if few:
+        joined = own.join(F.broadcast(found), own[source].eqNullSafe(F.col("__source")))
+    else:
+        dealt = own.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+        salted = found.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = dealt.join(salted.hint("merge"), own[source].eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__part")))
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: _unit(F.lit(seed), key, j.cast("string")))
     copies = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))

@@ -2,8 +2,9 @@
 
 Lexicon voters (whole words), pattern voters (beginnings of words) and shape voters
 (shouting, several lexicon words) vote "toxic" or abstain. A generative label model
-estimates from their votes alone how often each fires in either class and how they
-depend on each other; its posterior labels train a linear classifier over hashed words.
+estimates from their votes alone how often each fires in either class, alone and together
+with the voter that it depends on most; its posterior labels train a linear classifier
+over hashed words.
 """
 
 from __future__ import annotations
@@ -25,18 +26,19 @@ PREFIXES = (3, 4, 5, 6)
 #: A voter fires in so many toxic sample texts (and such a share of them) at least, and is
 #: so many times likelier there than in others.
 MIN_SUPPORT, MIN_SHARE, MIN_LIFT = 4, 0.01, 60.0
+#: Size of the model, whatever the corpus: voters, the best supported ones, and the classifier's words.
 MAX_VOTERS, MAX_FEATURES = 384, 512
 _TABLE_BITS = 22
 
 
-def _hits(t: scan.Texts, codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hits(t: scan.Texts, codes: np.ndarray, table: tuple[np.ndarray, np.uint64]) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) for each word or beginning of a word in ``codes``, distinct."""
-    found = []
+    found, (slots, shift) = [], table
     t = t.letters()
     for width in (0, *PREFIXES):
         words, hashes = t.affixes(width) if width else (np.arange(len(t.starts)), t.word_hashes())
         hashes = scan.mixed(hashes + np.uint64(width))
-        at = table[hashes & np.uint64((1 << _TABLE_BITS) - 1)]
+        at = slots[(hashes >> shift) & np.uint64((1 << _TABLE_BITS) - 1)]
         near = np.flatnonzero(at >= 0)
         near = near[codes[at[near]] == hashes[near]]
         found.append(t.doc[words[near]] * len(codes) + at[near])
@@ -44,10 +46,15 @@ def _hits(t: scan.Texts, codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
     return pairs // max(len(codes), 1), pairs % max(len(codes), 1)
 
 
-def _table(codes: np.ndarray) -> np.ndarray:
-    out = np.full(1 << _TABLE_BITS, -1, np.int16)
-    out[codes & np.uint64((1 << _TABLE_BITS) - 1)] = np.arange(len(codes))
-    return out
+def _table(codes: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """(number of a code by some of its bits, else -1; where those bits begin): no two codes share them."""
+    for shift in range(64 - _TABLE_BITS):
+        own = (codes >> np.uint64(shift)) & np.uint64((1 << _TABLE_BITS) - 1)
+        if len(np.unique(own)) == len(codes):
+            out = np.full(1 << _TABLE_BITS, -1, np.int16)
+            out[own] = np.arange(len(codes))
+            return out, np.uint64(shift)
+    raise ValueError("codes are not distinct")
 
 
 def _shapes(t: scan.Texts, lexicon_hits: np.ndarray) -> np.ndarray:
@@ -63,38 +70,66 @@ def _shapes(t: scan.Texts, lexicon_hits: np.ndarray) -> np.ndarray:
 SHAPES = 3
 #: Times that each voter's vote alone counts among the classifier's training texts.
 ALONE = 3
-#: Residual correlation from which two voters count as dependent.
-DEPENDENT = 0.5
+#: Residual correlation from which a voter depends on another one.
+DEPENDENT = 0.3
 
 
-def label_model(votes: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior P(toxic) of each row of ``votes`` (bool), and P(vote | clean, toxic) and the weight of each voter.
+@dataclass(frozen=True)
+class Voters:
+    """What the label model knows: ``rates[y, v, j]`` is how likely voter j votes in class y if the voter that it
+    depends on votes (v = 1) or not, ``leader`` that voter or -1, ``prior`` P(toxic)."""
+
+    rates: np.ndarray
+    leader: np.ndarray
+    prior: float
+
+    def evidence(self, votes: np.ndarray) -> np.ndarray:
+        """Log odds of toxic of each row from the votes that are cast; to abstain says nothing."""
+        odds = np.log(self.rates[1] / self.rates[0])
+        led = votes[:, self.leader] * (self.leader >= 0)
+        return votes @ odds[0] + (votes * led) @ (odds[1] - odds[0])
+
+
+def _leaders(votes: np.ndarray, posterior: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """For each voter the one that it agrees with most beyond what the class explains; leaders vote more often, so that none leads itself."""
+    rest = (votes - np.outer(1 - posterior, rates[0]) - np.outer(posterior, rates[1])).astype(np.float32)
+    spread = np.sqrt((rest**2).sum(0)) + 1e-9
+    alike = (rest.T @ rest) / np.outer(spread, spread)
+    rank = np.argsort(np.argsort(-votes.sum(0), kind="stable"))
+    alike[rank[None, :] >= rank[:, None]] = 0
+    return np.where(alike.max(1, initial=0) > DEPENDENT, alike.argmax(1) if len(alike) else -1, -1)
+
+
+def label_model(votes: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, Voters]:
+    """Posterior P(toxic) of each row of ``votes`` (bool), and what the model has learned.
 
     Expectation-maximisation over a latent class. A voter that abstains says nothing; that
-    all abstain is evidence of its own. Voters that agree beyond what the class
-    explains share their say: a voter's weight is 1 / (1 + sum of its positive residual
-    correlations), estimated anew every few rounds.
+    all abstain is evidence of its own. Voters form trees: the rates of a voter are
+    estimated apart for texts where its leader votes and where not, so that a voter that
+    mostly repeats another one adds nothing. Leaders are found anew every few rounds.
     """
     votes = votes.astype(np.float32)
     n, m = votes.shape
     silent = (votes.sum(1) == 0).astype(np.float64)
     posterior = 1 - 0.3 ** votes.sum(1)
-    weight, rates = np.ones(m), np.zeros((2, m))
+    leader, known = np.full(m, -1), Voters(np.ones((2, 2, m)), np.full(m, -1), 0.5)
     for k in range(rounds):
         mass = np.stack([(1 - posterior).sum(), posterior.sum()])
-        rates = np.stack([(1 - posterior) @ votes + 0.05, posterior @ votes + 0.5]) / (mass[:, None] + 1)
-        rates = np.clip(rates, 1e-5, 1 - 1e-5)
+        every = np.stack([(1 - posterior) @ votes + 0.05, posterior @ votes + 0.5]) / (mass[:, None] + 1)
         if k % 5 == 0:
-            rest = (votes - np.outer(1 - posterior, rates[0]) - np.outer(posterior, rates[1])).astype(np.float32)
-            spread = np.sqrt((rest**2).sum(0)) + 1e-9
-            alike = (rest.T @ rest) / np.outer(spread, spread)
-            np.fill_diagonal(alike, 0)
-            weight = 1 / (1 + np.where(alike > DEPENDENT, alike, 0).sum(1))
+            leader = _leaders(votes, posterior, every)
+        led = votes[:, leader] * (leader >= 0)
+        both, of = votes * led, np.stack([1 - posterior, posterior])
+        pooled = both.sum(0) / np.maximum(led.sum(0), 1)
+        with_leader = (of @ both + 2 * pooled) / (of @ led + 2)  # where a class has few texts, both follow the same rate
+        alone = (of @ (votes - both) + 2 * every) / (mass[:, None] - of @ led + 2)
+        alone = np.where(leader >= 0, alone, every)
         prior = (mass[1] + 1) / (n + 2)
+        known = Voters(np.clip(np.stack([alone, with_leader], 1), 1e-5, 1 - 1e-5), leader, prior)
         silence = np.log((posterior @ silent + 0.5) / (mass[1] + 1)) - np.log(((1 - posterior) @ silent + 0.5) / (mass[0] + 1))
-        odds = np.log(prior / (1 - prior)) + votes @ (weight * np.log(rates[1] / rates[0])) + silent * silence
+        odds = np.log(prior / (1 - prior)) + known.evidence(votes) + silent * silence
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return posterior, rates, weight
+    return posterior, known
 
 
 def _linear(x: np.ndarray, y: np.ndarray, steps: int = 800) -> tuple[np.ndarray, float]:
@@ -118,7 +153,7 @@ class Model:
     bias: float
     lexicon: int  # the first so many codes are voters
 
-    def scores(self, t: scan.Texts, table: np.ndarray) -> np.ndarray:
+    def scores(self, t: scan.Texts, table: tuple[np.ndarray, np.uint64]) -> np.ndarray:
         doc, feature = _hits(t, self.codes, table)
         sums = np.bincount(doc, self.weights[feature], t.n) + self.bias
         shapes = _shapes(t, np.bincount(doc[feature < self.lexicon], minlength=t.n))
@@ -184,7 +219,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         on_toxic, on_clean = labels @ votes[:, k], (1 - labels) @ votes[:, k]
         if (on_toxic + 0.5) / (labels.sum() + 1) < MIN_LIFT * (on_clean + 0.5) / (n - labels.sum() + 1):
             votes[:, k] = False
-    posterior, rates, weight = label_model(votes)
+    posterior, voters = label_model(votes)
 
     # further words that the posterior speaks for or against
     mass = np.bincount(at, posterior[doc], len(names))
@@ -202,8 +237,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     x[doc[on], mine[at[on]]] = 1
     x[:, len(chosen) + 1 :] = votes[:, len(strong) + 1 :]  # not "two hits": one word must do where there is one
     # what the label model says of a text with one vote alone, for words that mostly come together
-    prior = (posterior.sum() + 1) / (n + 2)
-    odds = (np.log(prior / (1 - prior)) + weight * np.log(rates[1] / rates[0]))[: len(strong)]
+    odds = np.log(voters.prior / (1 - voters.prior)) + voters.evidence(np.eye(len(strong), votes.shape[1], dtype=np.float32))
     alone = np.eye(len(strong), x.shape[1], dtype=np.float32)
     x = np.concatenate([x, *[alone] * ALONE])
     y = np.concatenate([posterior, *[1 / (1 + np.exp(-odds))] * ALONE])

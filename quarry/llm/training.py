@@ -25,27 +25,37 @@ def released() -> None:
         trim(0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str, in_fold: Column, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> pa.Table:
+def sample(docs: DataFrame, labels: DataFrame | None, target: str, in_fold: Column, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> pa.Table:
     """At most ``rows`` labelled rows (``text``, ``target``) on the driver, ``text_bytes`` long in all.
 
     A text that doesn't fit in what is left of the bound is left out and takes nothing from it.
-    ``labels`` has ``doc_id`` and ``target``; rows where either is null, or outside of
-    ``in_fold``, are never seen; of several labels of an id the least counts. The choice follows a hash of the id, so it doesn't depend
+    ``labels`` has ``doc_id`` and ``target`` (the least of an id's labels counts); without it
+    ``target`` is a column of ``docs``. Rows where the id or the label is null, or outside of
+    ``in_fold``, are never seen. The choice follows a hash of the id, so it doesn't depend
     on the order or the partitions. Ids and lengths come first, so that no more text is
     fetched than the bound allows.
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.lit("sample"), "doc_id")
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & in_fold).select("doc_id", target)
-    texts = docs.where(in_fold).select("doc_id", "text")
-    sized = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    texts = docs.where(in_fold & F.col("doc_id").isNotNull())
+    if labels is None:
+        texts = texts.where(F.col(target).isNotNull()).select("doc_id", "text", target, size)
+        fit = texts.select("doc_id", "size").where(F.col("size") <= text_bytes)
+    else:
+        chosen = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & in_fold).select("doc_id", target)
+        texts = texts.select("doc_id", "text", size)
+        fit = chosen.select("doc_id").distinct().join(texts.select("doc_id", "size").where(F.col("size") <= text_bytes), "doc_id")
     ids, left = [], text_bytes
-    for row in chosen.select("doc_id").distinct().join(sized.where(F.col("size") <= text_bytes), "doc_id").orderBy(order, "doc_id", "size").limit(rows).collect():
+    for row in fit.orderBy(order, "doc_id", "size").limit(rows).collect():
         if row.size <= left:  # a text that doesn't fit is left out; those after it may fit
             left -= row.size
             ids.append((row.doc_id, row.size))
     if not ids:
         return pa.table({"text": pa.array([], pa.large_string()), target: pa.array([], pa.int32())})
     few = spark.createDataFrame(sorted(set(ids)), "doc_id long, size long")  # at most ``rows``
-    got = texts.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))).join(F.broadcast(few), ["doc_id", "size"]).join(F.broadcast(chosen.join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(target).alias(target))), "doc_id")
-    return got.orderBy(order, "doc_id").limit(rows).select("text", target).toArrow()
+    got = texts.join(F.broadcast(few), ["doc_id", "size"])
+    if labels is not None:
+        least = chosen.join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(target).alias(target))
+        got = got.join(F.broadcast(least), "doc_id")
+    return got.orderBy(order, "doc_id", "size", "text").limit(rows).select("text", target).toArrow()

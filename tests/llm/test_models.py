@@ -1,6 +1,8 @@
 """Toxicity, quality and language models, and the samples they learn from."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -64,15 +66,48 @@ def test_odd_rows(spark, judged, odd_docs, no_docs):
     assert toxicity.clean_rows(docs, labels).columns == docs.columns
 
 
-def test_label_model_finds_the_class_and_shares_copies():
+def test_label_model_finds_the_class_and_counts_copies_once():
     r = np.random.default_rng(0)
     truth = r.random(4000) < 0.2
     votes = [(truth & (r.random(4000) < 0.6)) | (r.random(4000) < 0.004) for _ in range(6)]
-    votes.append(votes[0].copy())  # a voter and its copy
-    posterior, rates, weight = toxicity.label_model(np.stack(votes, 1))
-    assert np.mean((posterior > 0.5) == truth) > 0.97
-    assert abs(rates[1, 1] - 0.6) < 0.08 and rates[0, 1] < 0.02
-    assert weight[0] < 0.6 < 0.9 < weight[1]
+    alone, known = toxicity.label_model(np.stack(votes, 1))
+    assert np.mean((alone > 0.5) == truth) > 0.97 and (known.leader == -1).all()
+    assert abs(known.rates[1, 0, 1] - 0.6) < 0.08 and known.rates[0, 0, 1] < 0.02
+    echo = votes[0] & (r.random(4000) < 0.9)  # mostly repeats the first voter
+    posterior, known = toxicity.label_model(np.stack([*votes, echo], 1))
+    assert known.leader.tolist() == [-1] * 6 + [0]
+    assert abs(known.rates[1, 1, 6] - 0.9) < 0.05 and abs(known.rates[0, 1, 6] - 0.9) < 0.2
+    one = np.zeros((2, 7), np.float32)
+    one[:, 0] = 1
+    one[1, 6] = 1
+    first, both = known.evidence(one)
+    assert abs(both - first) < 0.3 < first
+    assert np.abs(posterior - alone).max() < 0.2
+
+
+def test_codes_that_share_low_bits_all_count():
+    codes = np.array([5, 5 + (1 << 22), 5 + (1 << 40)], np.uint64)
+    slots, shift = toxicity._table(codes)
+    assert slots[(codes >> shift) & np.uint64((1 << 22) - 1)].tolist() == [0, 1, 2]
+
+
+def test_toxicity_scores_match_plain_sums(judged):
+    docs, labels = judged
+    model = toxicity.trained(docs, labels)
+    texts = ["grumble FIEND!! zounds", "plain words only", "", "Fiends fiendish", None]
+    slow = []
+    for text in texts:
+        text = text or ""
+        words_ = re.findall(r"[A-Za-z\u0080-\uffff]+", text)
+        (_, _, t), = scan.texts_of(pa.array([" ".join(x.lower()[:w] if w else x.lower() for w in (0, *toxicity.PREFIXES) for x in words_ if not w or len(x) > w)]))
+        widths = [w for w in (0, *toxicity.PREFIXES) for x in words_ if not w or len(x) > w]
+        names = {int(c) for c in scan.mixed(t.word_hashes() + np.array(widths, np.uint64))}
+        on = [k for k, c in enumerate(model.codes.tolist()) if c in names]
+        shapes = [sum(k < model.lexicon for k in on) >= 2, "!!" in text, sum("A" <= c <= "Z" for c in text) > sum("a" <= c <= "z" for c in text)]
+        slow.append(1 / (1 + math.exp(-(model.bias + sum(model.weights[on]) + sum(w for w, s in zip(model.weights[len(model.codes) :], shapes, strict=True) if s)))))
+    (_, _, t), = scan.texts_of(pa.array(texts))
+    assert model.scores(t, toxicity._table(model.codes)) == pytest.approx(slow, rel=1e-5)
+    assert slow[0] > 0.7 > slow[1]
 
 
 def test_factorisation_identity():
