@@ -76,6 +76,16 @@ def contract_faults(c: Column, fields: Sequence[str], lists: Sequence[str] = ("d
     return F.pandas_udf(check, "array<string>")(c)
 
 
+def chosen(tasks: DataFrame, ids: Sequence[str] = (), difficulties: Sequence[str] = ()) -> DataFrame:
+    """Tasks of some ids and difficulties, all if none are named; an id that no task has is an error."""
+    if ids:
+        known = {r.task_id for r in tasks.where(F.col("task_id").isin(*ids)).select("task_id").distinct().collect()}  # at most the ids asked for
+        if odd := sorted(set(ids) - known):
+            raise LookupError(f"no such task: {', '.join(odd)}")
+        tasks = tasks.where(F.col("task_id").isin(*ids))
+    return tasks.where(F.col("difficulty").isin(*difficulties)) if difficulties else tasks
+
+
 def finalized(records: DataFrame) -> DataFrame:
     """Records with ``calls_unfinished`` filled in."""
     running = F.size(F.filter(F.coalesce("call_details", F.array().cast("array<struct<call_id:string,status:string>>")), lambda x: x["status"] == "running"))

@@ -13,9 +13,8 @@ from quarry.functions import fixed
 from quarry.functions.scalars import preview
 from quarry.operators import lookup, merge, search
 from quarry.plans import guarded
-from quarry.sources.catalog import Catalog
+from quarry.sources.catalog import TEXT_COLUMNS, Catalog, row_id
 
-TEXT_COLUMNS = ("name", "signature", "js_doc")
 ENVELOPE_VERSION = 1
 
 
@@ -41,10 +40,8 @@ def symbol(catalog: Catalog, name: str, limit: int = 20, package: str | None = N
 
 def find(catalog: Catalog, text: str, limit: int = 20, package: str | None = None, version: str | None = None, source_package: str | None = None, kind: str | None = None, file: str | None = None, internal: bool = False) -> DataFrame:
     """Symbols that a search text matches, best first (Q1)."""
-    keyed = lambda df: df.withColumn("row_id", F.concat_ws("\u0001", "package", "version", "id"))
-    rows = keyed(_filtered(catalog, package, version, source_package, kind, file, internal))
-    index = search.build(keyed(catalog.table("symbols", package=package)), "row_id", TEXT_COLUMNS)  # scores count all rows
-    found = search.find(rows, index, text, "row_id", "name", limit, F.col("is_internal"), TEXT_COLUMNS)
+    rows = _filtered(catalog, package, version, source_package, kind, file, internal).withColumn("row_id", row_id())
+    found = search.find(rows, catalog.index(package), text, "row_id", "name", limit, F.col("is_internal"), TEXT_COLUMNS)  # scores count all rows
     return hits(found)
 
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("scalar_queries", "relational_queries", "search_queries", "ingest_queries")
+MODULES = ("scalar_queries", "relational_queries", "search_queries", "ingest_queries", "catalog_queries")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

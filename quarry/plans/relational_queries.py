@@ -194,11 +194,6 @@ def verifier(s, d):
     return T(s, d, "documents").select("doc_id", v["correct"].alias("correct"), v["missing"].alias("missing"), v["found"].alias("found"))
 
 
-@query("f22_task_filter", "SELECT event_id FROM events WHERE event_type IN ('view', 'click') AND user_id IN (1, 2, 3)")
-def f22_task_filter(s, d):
-    return T(s, d, "events").where(F.col("event_type").isin("view", "click") & F.col("user_id").isin(1, 2, 3)).select("event_id")
-
-
 @query("f23_skip_reasons", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN value < 5 THEN 'short' WHEN user_id % 2 = 0 THEN 'even' END AS reason FROM events")
 def f23_skip_reasons(s, d):
     reason = stats.first_reason([(F.col("event_type") == "error", "failed"), (F.col("value") < 5, "short"), (F.col("user_id") % 2 == 0, "even")])

@@ -18,15 +18,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.operators import globs
+from quarry.operators import globs, search
+from quarry.operators.iterate import stored
 from quarry.sources import graph
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 BUCKETS = 64
+#: Names of the stored schema's tables and columns.
 TABLES = {
     "packages": "name string, version string, package_dir string, symbols long, files long, indexed_at long, cache_key string, backfill_revision int, dependencies array<string>",
     "symbols": "seq long, " + graph.SYMBOLS + ", since_major long, since_minor long, since_patch long",
+    "postings": "package string, version string, term string, id string, col string, positions array<int>",
+    "lengths": "package string, version string, id string, len long",
 }
+#: How a table's rows lie in a bucket: postings by term, so that a search reads its terms' row groups.
+ORDER = {"packages": ["name", "version"], "symbols": ["package", "version", "seq"], "postings": ["term", "id"], "lengths": ["id"]}
+#: Tables that ad hoc SQL sees; the others are the text index.
+SHOWN = ("packages", "symbols")
+TEXT_COLUMNS = ("name", "signature", "js_doc")
 #: Child tables are views on the symbols' arrays: distinct values of a row, as a set.
 CHILDREN = {
     "symbol_dependencies": ("dependencies", "to_id"), "symbol_surface_dependencies": ("surface_dependencies", "to_id"), "symbol_inherited_from": ("inherited_from", "source_id"),
@@ -34,6 +43,18 @@ CHILDREN = {
 }
 
 
+def row_id() -> Column:
+    """What names a symbol among all packages, in the text index."""
+    return F.concat_ws("\u0001", "package", "version", "id")
+
+
+def text_index(symbols: DataFrame) -> dict[str, DataFrame]:
+    """``postings`` and ``lengths`` of symbols (K4)."""
+    index = search.build(symbols.select("package", "version", row_id().alias("row_id"), *TEXT_COLUMNS), "row_id", TEXT_COLUMNS)
+    parts = F.split("id", "\u0001")
+    return {k: df.withColumns({"package": parts[0], "version": parts[1]}) for k, df in (("postings", index.postings), ("lengths", index.lengths))}
+
+
 class Conflict(RuntimeError):
     """Another writer published first."""
 
@@ -118,7 +139,12 @@ class Catalog:
 
     def views(self, package: str | None = None) -> dict[str, DataFrame]:
         state = self.state()
-        return {t: self.table(t, state, package) for t in (*TABLES, *CHILDREN, "package_dependencies")}
+        return {t: self.table(t, state, package) for t in (*SHOWN, *CHILDREN, "package_dependencies")}
+
+    def index(self, package: str | None = None) -> search.Index:
+        """The kept text index."""
+        state = self.state()
+        return search.Index(self.table("postings", state, package), self.table("lengths", state, package))
 
     # writing -----------------------------------------------------------------------------
 
@@ -126,9 +152,8 @@ class Catalog:
         """Writes the ``touched`` buckets of a table; an empty bucket loses its files."""
         key = "name" if name == "packages" else "package"
         folder = f"{name}/{uuid.uuid4().hex}"
-        order = ["name", "version"] if name == "packages" else ["package", "version", "seq"]
         numbered = rows.withColumn("bucket", bucket_of(F.col(key), state.buckets))
-        numbered.repartition("bucket", F.col(key)).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        numbered.repartition("bucket", F.col(key)).sortWithinPartitions("bucket", *ORDER[name]).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
         written = {x.getPath().getName() for x in self._fs.listStatus(self._path(folder))}
         own = state.files.setdefault(name, {})
         for b in touched:
@@ -153,22 +178,27 @@ class Catalog:
         """
         from quarry.functions.scalars import since_semver
 
-        state = self.state()
-        if not symbols.groupBy("package", "version", "id").count().where("count > 1").isEmpty():
+        state, have = self.state(), set(packages.columns)
+        since = since_semver(F.col("since"))
+        new = symbols.withColumn("seq", F.monotonically_increasing_id() if "seq" not in symbols.columns else F.col("seq")).withColumns({f"since_{k}": since[k] for k in ("major", "minor", "patch")})
+        new = stored(new.select(*StructType.fromDDL(TABLES["symbols"]).names), "save")  # the input runs once; numbers are fixed from here
+        if not new.groupBy("package", "version", "id").count().where("count > 1").isEmpty():
             raise ValueError("a package has two symbols of one id")
-        have = set(packages.columns)
-        counts = symbols.groupBy(F.col("package").alias("name"), "version").agg(F.count("*").alias("symbols"), F.count_distinct("file_path").alias("files"))
+        counts = new.groupBy(F.col("package").alias("name"), "version").agg(F.count("*").alias("symbols"), F.count_distinct("file_path").alias("files"))
         given = packages.select("name", "version", *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in (("package_dir", "string"), ("dependencies", "array<string>"))]).dropDuplicates(["name", "version"])
+        given = stored(given, "save")
         rows = given.join(counts, ["name", "version"], "left").withColumns({
             "symbols": F.coalesce("symbols", F.lit(0)), "files": F.coalesce("files", F.lit(0)), "indexed_at": F.lit(int(time.time())), "cache_key": F.lit(cache_key), "backfill_revision": F.lit(revision),
             "dependencies": F.coalesce("dependencies", F.array().cast("array<string>")),
         })
-        since = since_semver(F.col("since"))
-        new = symbols.withColumn("seq", F.monotonically_increasing_id() if "seq" not in symbols.columns else F.col("seq")).withColumns({f"since_{k}": since[k] for k in ("major", "minor", "patch")})
-        touched = self._touched(given, state.buckets)
-        for name, df in (("packages", rows), ("symbols", new)):
-            fresh = df.select(*StructType.fromDDL(TABLES[name]).names)
-            self._rewrite(state, name, self._kept(state, name, touched, given).unionByName(fresh), touched)
+        self._replace(state, given, {"packages": rows, "symbols": new, **text_index(new)})
+
+    def _replace(self, state: State, gone: DataFrame, fresh: Mapping[str, DataFrame]) -> None:
+        """Publishes a state in which the rows of ``gone`` (name, version) have given way to ``fresh`` ones, by table."""
+        touched = self._touched(gone, state.buckets)
+        for t in TABLES:
+            rows = self._kept(state, t, touched, gone)
+            self._rewrite(state, t, rows.unionByName(fresh[t].select(*StructType.fromDDL(TABLES[t]).names)) if t in fresh else rows, touched)
         self._publish(state)
 
     def delete(self, name: str | None = None, version: str | None = None, glob: str | None = None) -> int:
@@ -183,10 +213,7 @@ class Catalog:
             gone = gone.where(F.col("version") == version)
         n = gone.count()
         if n:
-            touched = self._touched(gone, state.buckets)
-            for t in TABLES:
-                self._rewrite(state, t, self._kept(state, t, touched, gone), touched)
-            self._publish(state)
+            self._replace(state, gone, {})
         return n
 
     # cache and backfill ------------------------------------------------------------------
@@ -236,18 +263,13 @@ class Catalog:
         todo = self.spark.createDataFrame(todo.collect(), todo.schema) if most is not None else todo  # a fixed choice
         n = todo.count()
         if n:
-            touched = self._touched(todo, state.buckets)
-            names = StructType.fromDDL(TABLES["symbols"]).names
             symbols = self.table("symbols", state).join(todo.select(F.col("name").alias("package"), "version", "backfill_revision"), ["package", "version"])
             for revision in sorted(r for r in steps if r <= target):
                 due = symbols.where(F.col("backfill_revision") < revision)
                 symbols = symbols.where(F.col("backfill_revision") >= revision).unionByName(steps[revision](due))
+            symbols = stored(symbols, "backfill")
             packages = self.table("packages", state).join(todo.select("name", "version"), ["name", "version"], "left_semi").withColumn("backfill_revision", F.lit(target))
-            fresh = {"symbols": symbols.select(*names), "packages": packages.select(*StructType.fromDDL(TABLES["packages"]).names)}
-            old = {t: self._kept(state, t, touched, todo) for t in TABLES}
-            for t in TABLES:
-                self._rewrite(state, t, old[t].unionByName(fresh[t]), touched)
-            self._publish(state)
+            self._replace(state, todo, {"symbols": symbols, "packages": packages, **text_index(symbols)})
         if self.pending(cache_key).isEmpty():
             state = self.state()
             state.pending_backfill = None
@@ -270,13 +292,16 @@ class Catalog:
         }
 
     def vacuum(self) -> int:
-        """Deletes folders and manifests that the present state doesn't name (M8). No reader may hold an older state."""
+        """Deletes buckets' folders and manifests that the present state doesn't name (M8). No reader may hold an older state."""
         state, gone = self.state(), 0
-        used = {x.split("/")[1] for t in state.files.values() for x in t.values()}
+        used = {x for t in state.files.values() for x in t.values()}
         for t in TABLES:
             for x in self._fs.listStatus(self._path(t)) if self._fs.exists(self._path(t)) else []:
-                if x.getPath().getName() not in used:
-                    gone += bool(self._fs.delete(x.getPath(), True))
+                folder, parts = f"{t}/{x.getPath().getName()}", list(self._fs.listStatus(x.getPath()))
+                kept = [y for y in parts if f"{folder}/{y.getPath().getName()}" in used]
+                for y in parts if kept else [x]:
+                    if y not in kept and (y is x or y.getPath().getName().startswith("bucket=")):
+                        gone += bool(self._fs.delete(y.getPath(), True))
         for k in self._numbers()[:-1]:
             self._fs.delete(self._path("_log", f"{k:012d}.json"), False)
         return gone
@@ -288,3 +313,19 @@ class Catalog:
         if not self._fs.exists(self._path("_log")):
             raise ValueError(f"{self.root} is no catalog")
         return bool(self._fs.delete(self._path(), True))
+
+
+class Given(Catalog):
+    """Tables that lie elsewhere, for reading: the commands over them are those over a catalog."""
+
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame]):
+        self.spark, self.tables = spark, {**{k: v for k, v in text_index(tables["symbols"]).items() if k not in tables}, **tables}
+
+    def state(self) -> State:
+        return State()
+
+    def table(self, name: str, state: State | None = None, package: str | None = None) -> DataFrame:
+        if name not in self.tables:
+            return super().table(name, state, package)
+        rows = self.tables[name]
+        return rows if package is None else rows.where(F.col("name" if name == "packages" else "package") == package)

@@ -145,3 +145,10 @@ def test_streams(spark, tmp_path):
     c = catalogs.Catalog(spark, f"file:{tmp_path}/cat", buckets=2)
     incremental.index(spark.readStream.schema(files.schema).parquet(f"{tmp_path}/f"), c, "k", f"{tmp_path}/cp").awaitTermination(120)
     assert c.table("symbols").count() == packages.graphs(files).join(packages.scan(files).select(F.col("name").alias("package"), "version"), ["package", "version"], "left_semi").count() > 0
+
+
+def test_unknown_tasks_are_an_error(spark):
+    tasks = spark.createDataFrame([("a", "easy"), ("b", "hard")], "task_id string, difficulty string")
+    assert evaluation.chosen(tasks, ["a", "b"], ["hard"]).count() == 1 and evaluation.chosen(tasks).count() == 2
+    with pytest.raises(LookupError):
+        evaluation.chosen(tasks, ["a", "c"])

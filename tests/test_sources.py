@@ -180,15 +180,16 @@ def test_second_writer_loses(spark, filled):
 
 
 def test_backfill(filled):
-    assert filled.migrate([(2, "instant", None), (3, "backfill", 2)]) == [3] if catalogs.SCHEMA_VERSION >= 3 else True
     state = filled.state()
-    state.pending_backfill = 2
+    state.schema_version = 1
     filled._publish(state)
+    assert filled.migrate([(1, "rebuild", None), (2, "instant", None), (3, "backfill", 2)]) == [2, 3] and filled.state().pending_backfill == 2
     assert filled.pending("i1+x").count() == 3
     steps = {1: lambda df: df.withColumn("since", F.lit("1.0")), 2: lambda df: df.withColumn("js_doc", F.lit("filled"))}
     assert filled.backfill(steps, "i1+x", most=1) == 1 and filled.pending("i1+x").count() == 2
     assert filled.backfill(steps, "i1+x") == 2 and filled.state().pending_backfill is None
     assert filled.table("symbols").where("js_doc <> 'filled' OR since <> '1.0'").count() == 0
+    assert api.find(filled, "js_doc:filled", limit=500, internal=True).count() == filled.table("symbols").count()  # the text index follows
 
 
 def test_newer_catalogs_are_refused(filled):
