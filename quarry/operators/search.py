@@ -354,9 +354,26 @@ class Scan:
         """Whether a row matches."""
         return self._bound(lambda row: self._holds(tree, row))
 
+    def _may(self, tree: object) -> Column | None:
+        """What every match meets, without its terms being made: a substring, or letters that may be folded. None: nothing."""
+        if isinstance(tree, Phrase):
+            def one(c: str) -> Column:
+                low = F.lower(F.coalesce(F.col(c), F.lit("")))
+                return reduce(lambda a, b: a & b, [low.contains(t) for t in tree.terms]) | low.rlike(r"[^\x00-\x7F]")
+
+            return reduce(lambda a, b: a | b, [one(c) for c in ([tree.column] if tree.column else self.columns)]) if tree.terms else F.lit(False)
+        if isinstance(tree, Not):
+            return self._may(tree.left)
+        parts = [self._may(p) for p in (tree.phrases if isinstance(tree, Near) else tree.parts)]
+        if isinstance(tree, Any_):
+            return None if any(p is None for p in parts) else reduce(lambda a, b: a | b, parts)
+        known = [p for p in parts if p is not None]
+        return reduce(lambda a, b: a & b, known) if known else None
+
     def matches(self, tree: object) -> DataFrame:
-        """The matching rows."""
-        return self.rows.where(self.holds(tree))
+        """The matching rows; those that lack a term as a substring are never split into terms."""
+        may = self._may(tree)
+        return self.rows.where(self.holds(tree) if may is None else F.when(may, self.holds(tree)).otherwise(F.lit(False)))
 
     def scores(self, tree: object) -> DataFrame:
         """The matching rows with ``score``: BM25 over all rows, negated. Two passes over the texts."""

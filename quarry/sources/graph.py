@@ -1,8 +1,8 @@
 """The symbol graph of one package: discovery, export resolution, merging, ids and edges.
 
 These passes depend on the order in which a package's files are met, so a package is built
-as a whole, in one task; packages are built in parallel. ``quarry.operators`` has the same
-operators over tables, for any number of rows.
+as a whole, in one task; packages are built in parallel (``packages.graphs``).
+``quarry.operators`` has the same operators over tables, for any number of rows.
 """
 
 from __future__ import annotations
@@ -312,7 +312,11 @@ class Package:
             named[s["name"]].append(s["id"])
             if "." in s["name"]:
                 tails[(s["file_path"], s["name"].rsplit(".", 1)[1])].append(s["id"])
-        self.local = local
+        self.local, self.ambient = local, {}
+        for s in rows:  # what an ambient NodeJS name stands for: its first reference into a runtime module
+            heads = [r.name.partition(".") for r in s["_refs"] if s["name"].startswith("NodeJS.") and r.import_path is None]
+            if known := next((f"node::{head}::{rest}" for head, _, rest in heads if rest and head in fixed.NODE_MODULES), None):
+                self.ambient[s["name"]] = known
         for s in rows:
             imports = {}
             for i in self.parsed[s["_file"]].imports if s["_file"] in self.parsed else ():
@@ -352,10 +356,10 @@ class Package:
         kept = [t for t in dict.fromkeys(found) if t != s["id"] and (r.hint is None or by_id[t]["kind"] in fixed.KINDS_BY_HINT[r.hint])]
         if r.hint == "type" and r.import_path is None and not rest:  # a plain type name means a namespace last
             kept = [t for t in kept if by_id[t]["kind"] != "ModuleDeclaration"] or kept
+        if r.name.startswith("NodeJS.") and rest and (kept or not source):
+            return [self.ambient.get(r.name, f"node::NodeJS::{rest}")]
         if kept:
             return kept
-        if r.name.startswith("NodeJS.") and not source:
-            return [f"node::NodeJS::{rest}"]
         stub = stub_id(source, foreign) if source else None
         return [stub] if stub else []
 

@@ -71,7 +71,7 @@ def _siblings(path: str) -> list[str]:
     if not m:
         return []
     stem = path[: m.start()]
-    return [f"{stem}.d.{m[1]}ts", *([f"{stem}.d.ts"] if m[1] else [])]
+    return [f"{stem}.d.{m[1]}ts", *([f"{stem}.d.ts"] if m[1] else [f"{stem}.d.mts", f"{stem}.d.cts"])]
 
 
 def declared(tree: Tree, folder: str, path: str) -> str | None:

@@ -7,6 +7,7 @@ Packages are independent: one task handles whole packages, a package's files tog
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import fixed
+from quarry.operators.iterate import reached, stored
 
 FILES = "package_dir string, path string, text string"
 
@@ -24,9 +26,12 @@ def files(spark: SparkSession, root: str, glob: str = "*.{ts,mts,cts,json}") ->
     return read.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
 
 
+#: The folder of the installed package that owns a path: the last ``node_modules`` segment and one or two more.
+_PACKAGE = r"^(.*/node_modules/(?:@[^/]+/[^/]+|[^/@.][^/]*))/"
+
+
 def package_of(path: Column) -> Column:
-    """The folder of the installed package that owns a path: the last ``node_modules`` segment and one or two more."""
-    return F.regexp_extract(path, r"^(.*/node_modules/(?:@[^/]+/[^/]+|[^/@.][^/]*))/", 1)
+    return F.regexp_extract(path, _PACKAGE, 1)
 
 
 def scan(found: DataFrame) -> DataFrame:
@@ -94,21 +99,53 @@ def parsed(found: DataFrame) -> DataFrame:
     return found.where(F.col("path").rlike(r"\.d\.(ts|mts|cts)$")).select("path", "text").mapInPandas(run, PARSED)
 
 
+def _wanted(found: DataFrame) -> DataFrame:
+    """(package_dir, target): packages that a package's declarations may lead into, over-estimated by their quoted texts.
+
+    A bare specifier means the packages of its name, or their types, in the folders above; a
+    relative one may lead into a neighbour.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = set()
+            for path, own, text in zip(batch.path, batch.package_dir, batch.text, strict=True):
+                for spec in set(re.findall(r"""["']([^"'\s]+)["']""", text or "")):
+                    if spec.startswith("."):
+                        full = posixpath.normpath(posixpath.join(posixpath.dirname(path), spec)) + "/"
+                        if not full.startswith(f"{own}/") and (m := re.match(_PACKAGE, full)):
+                            rows.add((own, "", m[1]))
+                    elif m := re.match(r"(@[^/]+/[^/]+|[^@/][^/]*)", spec):
+                        rows.update((own, name, "") for name in (m[1], f"@types/{m[1]}"))
+            yield pd.DataFrame(sorted(rows), columns=["package_dir", "name", "target"])
+
+    needs = found.where(F.col("path").rlike(r"\.d\.(ts|mts|cts)$")).mapInPandas(run, "package_dir string, name string, target string").distinct()
+    known = found.select("package_dir").distinct().select(F.col("package_dir").alias("target"), _root(F.col("package_dir")).alias("root"), F.regexp_extract("package_dir", r"/node_modules/((?:@[^/]+/)?[^/]+)$", 1).alias("name"))
+    bare = needs.where("target = ''").select("package_dir", _root(F.col("package_dir")).alias("root"), "name").join(known, ["root", "name"])
+    above = bare.where(F.col("package_dir").startswith(F.regexp_extract("target", r"^(.*)/node_modules/", 1))).select("package_dir", "target")
+    return above.unionByName(needs.where("target <> ''").select("package_dir", "target")).where("package_dir <> target").distinct()
+
+
+def _root(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*?)/node_modules/", 1)
+
+
 def graphs(found: DataFrame, max_hops: int = 10, stubs: Sequence[str] = ()) -> DataFrame:
     """The symbol graph of every installed package among (path, text): see ``graph.SYMBOLS``.
 
-    A package is built from all files of its install root's tree that it may reach: its
-    own, and the manifests and declarations of packages below the same ``node_modules``.
+    A package is a group of its own: its files and those of the packages that it may lead
+    into, however an install root is laid out. Only the names of packages meet in a join.
     """
     from quarry.sources import graph
 
-    rooted = found.withColumn("root", F.regexp_extract("path", r"^(.*?)/node_modules/", 1)).where("root <> ''")
+    owned = found.withColumn("package_dir", package_of(F.col("path"))).where("package_dir <> ''")
+    leads = stored(_wanted(owned), "package-leads")
+    every = owned.where(F.col("path") == F.concat("package_dir", F.lit("/package.json"))).select("package_dir").distinct()
+    starts = every.select(F.col("package_dir").alias("node"))
+    within = reached(starts, leads.select(F.col("package_dir").alias("src"), F.col("target").alias("dst")), max_hops + 1 if max_hops >= 0 else -1).select("root", F.col("node").alias("package_dir"))
+    files_of = within.join(owned.select("package_dir", "path", "text"), "package_dir").select("root", "path", "text")
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = dict(zip(pdf.path, pdf.text, strict=True))
-        rows = []
-        for path in sorted(p for p in tree if p.endswith("/package.json") and posixpath.basename(posixpath.dirname(p)) and "/node_modules/" in p):
-            rows += graph.build(tree, posixpath.dirname(path), max_hops, stubs)
-        return graph.frame(rows)
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return graph.frame(graph.build(dict(zip(pdf.path, pdf.text, strict=True)), key[0], max_hops, stubs))
 
-    return rooted.groupBy("root").applyInPandas(lambda pdf: build(pdf), graph.SYMBOLS)
+    return files_of.groupBy("root").applyInPandas(build, graph.SYMBOLS)

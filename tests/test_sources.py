@@ -111,6 +111,43 @@ def test_cycles_end():
     assert {"A", "B", "A.b", "B.a", "B.a.c", "X.m"} <= ids
 
 
+def test_inherited_members_belong_to_the_heir():
+    files = {
+        "/p/package.json": '{"name":"p"}',
+        "/p/index.d.ts": "import { Top } from './base.js';\nexport interface Mid extends Top { own: 1 }\nexport interface Low extends Mid { last(): void }\nexport { Top };",
+        "/p/base.d.mts": "export interface Top { shared: string }",
+    }
+    rows = {s["name"]: s for s in graph.build(files, "/p")}
+    assert rows["Top.shared"]["parent_id"] == "p@0.0.0::Top" and not rows["Top.shared"]["is_inherited"]
+    assert rows["Mid.shared"]["parent_id"] == "p@0.0.0::Mid" and rows["Mid.shared"]["inherited_from"] == ["p@0.0.0::Top.shared"]
+    assert rows["Low.shared"]["parent_id"] == "p@0.0.0::Low" and rows["Low.own"]["parent_id"] == "p@0.0.0::Low"
+    assert rows["Low.shared"]["file_path"] == "base.d.mts"  # reached through a specifier of a script
+
+
+def test_ambient_names_stand_for_runtime_modules():
+    text = "declare namespace NodeJS { interface Timer extends events.EventEmitter {} interface Plain { a: 1 } }\nexport declare function wait(t: NodeJS.Timer, p: NodeJS.Plain, o: NodeJS.Other): void;"
+    rows = {s["name"]: s for s in graph.build({"/p/package.json": '{"name":"p"}', "/p/index.d.ts": text}, "/p")}
+    assert rows["wait"]["dependencies"] == ["node::NodeJS::Other", "node::NodeJS::Plain", "node::events::EventEmitter"]
+
+
+def test_each_package_is_a_group_with_what_it_may_reach(spark):
+    files = {
+        "/w/node_modules/a/package.json": '{"name":"a","version":"1.0.0"}', "/w/node_modules/a/index.d.ts": "export * from 'b';\nexport * from '../c/extra';\nexport type A = 1;",
+        "/w/node_modules/b/package.json": '{"name":"b","version":"1.0.0"}', "/w/node_modules/b/index.d.ts": "import type { D } from 'd';\nexport interface B { d: D }",
+        "/w/node_modules/c/package.json": '{"name":"c","version":"1.0.0"}', "/w/node_modules/c/index.d.ts": "export type C = 1;", "/w/node_modules/c/extra.d.ts": "export type Extra = 2;",
+        "/w/node_modules/b/node_modules/d/package.json": '{"name":"d","version":"2.0.0"}', "/w/node_modules/b/node_modules/d/index.d.ts": "export type D = 'inner';",
+        "/w/node_modules/d/package.json": '{"name":"d","version":"1.0.0"}', "/w/node_modules/d/index.d.ts": "export type D = 'outer';",
+        "/w/node_modules/@s/e/package.json": '{"name":"@s/e","version":"1.0.0"}', "/w/node_modules/@s/e/index.d.ts": "export { B as E } from 'b';",
+    }
+    found = spark.createDataFrame(list(files.items()), "path string, text string").repartition(5)
+    want = sorted((s["id"], s["file_path"], tuple(s["dependencies"])) for folder in {p.rsplit("/", 1)[0] for p in files if p.endswith("package.json")} for s in graph.build(files, folder))
+    got = packages.graphs(found)
+    assert sorted((r.id, r.file_path, tuple(r.dependencies)) for r in got.collect()) == want
+    leads = {tuple(r) for r in packages._wanted(found.withColumn("package_dir", packages.package_of(F.col("path")))).collect()}
+    assert ("/w/node_modules/a", "/w/node_modules/c") in leads and ("/w/node_modules/b", "/w/node_modules/b/node_modules/d") in leads
+    assert not any(x == "/w/node_modules/c" for x, _ in leads)
+
+
 def test_stubs():
     out = {s["id"]: s for s in graph.build(FILES, f"{ROOT}/alpha", stubs=["beta"])}
     assert "npm::beta::Thing" in out["alpha@1.2.0::make"]["dependencies"]
