@@ -143,15 +143,15 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def distinct_buckets(keyed: DataFrame) -> DataFrame:
-    """(band, key, members, words, m1, m2, id) of one bucket for each set of classes of two components or more.
+    """(band, key, members, all_words, least) of one bucket, in the first band, for each set of two or more classes.
 
-    ``keyed`` has (id, component, h1, h2, words, band, key). Several bands often have the
-    same members: one bucket of them is enough. Members are classes, not ids: a class is
-    in a bucket once, so that nothing cancels in the XORs. ``id`` is the least member.
+    ``keyed`` has (id, h1, h2, words, band, key). Several bands often have the same
+    members: one bucket of them is enough. Members are classes, not ids: a class is in a
+    bucket once, so that nothing cancels in the XORs.
     """
-    ends = [F.min("component").alias("low"), F.max("component").alias("high")]
-    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("members"), F.sum("words").alias("words"), F.bit_xor("h1").alias("m1"), F.bit_xor("h2").alias("m2"), F.min("id").alias("id"), *ends).where("low < high")
-    return buckets.groupBy("members", "m1", "m2").agg(F.min(F.struct("band", "key", "words", "id")).alias("b")).select("b.*", "members", "m1", "m2")
+    facts = [F.count("*").alias("members"), F.bit_xor("h1").alias("m1"), F.bit_xor("h2").alias("m2"), F.sum("words").alias("all_words"), F.min("id").alias("least")]
+    buckets = keyed.groupBy("band", "key").agg(*facts).where("members > 1")
+    return buckets.groupBy("members", "m1", "m2").agg(F.min(F.struct("band", "key", "all_words", "least")).alias("b")).select("b.*", "members")
 
 
 def _blocks(members: str, words: str, tile: int) -> Column:
@@ -162,23 +162,26 @@ def _block(blocks: str) -> Column:
     return F.pmod(F.xxhash64("id"), blocks).cast("int")
 
 
-def star_tiles(keyed: DataFrame, chosen: DataFrame, tile: int) -> DataFrame:
-    """(band, key, i, j, id): each member of the ``chosen`` buckets in one block, and the bucket's least in all."""
-    sized = chosen.select("band", "key", F.col("id").alias("least"), _blocks("members", "words", tile).alias("blocks"))
-    members = keyed.select("band", "key", "id").join(sized.hint("merge"), ["band", "key"]).select("band", "key", _block("blocks").alias("i"), "id")
-    least = sized.where("blocks > 1").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("least").alias("id"))
-    return members.unionByName(least).select("band", "key", "i", F.lit(0).alias("j"), "id")
+def star_tiles(members: DataFrame, tile: int) -> DataFrame:
+    """(band, key, i, j, id): each member of a bucket in one block, and the bucket's least in all.
+
+    ``members`` has (band, key, id) and ``distinct_buckets`` of each.
+    """
+    sized = members.withColumn("blocks", _blocks("members", "all_words", tile))
+    own = sized.select("band", "key", _block("blocks").alias("i"), "id")
+    rest = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != _block("blocks"))
+    least = sized.where("blocks > 1 AND id = least").select("band", "key", F.explode(rest).alias("i"), "id")
+    return own.unionByName(least).select("band", "key", "i", F.lit(0).alias("j"), "id")
 
 
-def rest_tiles(keyed: DataFrame, chosen: DataFrame, tile: int) -> DataFrame:
-    """(band, key, i, j, id): in the ``chosen`` buckets, members outside of the largest component meet all members.
+def rest_tiles(members: DataFrame, tile: int) -> DataFrame:
+    """(band, key, i, j, id): in buckets of several components, members outside of the largest one meet all members.
 
-    Tile (i, j) has block i of those outside and block j of all.
+    ``members`` has (band, key, id, words, component). Tile (i, j) has block i of those outside and block j of all.
     """
-    members = keyed.select("band", "key", "id", "words", "component").join(chosen.select("band", "key").hint("merge"), ["band", "key"])
     sizes = members.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
     most = F.max(F.struct("n", "w", "component"))
-    sizes = sizes.groupBy("band", "key").agg(most.alias("m"), F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
+    sizes = sizes.groupBy("band", "key").agg(most.alias("m"), F.sum("n").alias("all_n"), F.sum("w").alias("all_w")).where("m.n < all_n")
     sizes = sizes.select("band", "key", F.col("m.component").alias("main"), "all_n", "all_w", (F.col("all_n") - F.col("m.n")).alias("n"), (F.col("all_w") - F.col("m.w")).alias("w"))
     sizes = sizes.select("band", "key", "main", _blocks("n", "w", tile).alias("outer"), _blocks("all_n", "all_w", tile).alias("blocks"))
     placed = members.join(sizes.hint("merge"), ["band", "key"])
@@ -210,20 +213,15 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         tiles = spread.join(wanted, "id").select(*_TILE_KEY, "id", "text").repartition(*_TILE_KEY).sortWithinPartitions(*_TILE_KEY)
         return edges(tiles, threshold, width)
 
-    def keyed(bands: Column, linked: DataFrame | None) -> DataFrame:
-        known = classes.where("id IS NOT NULL")
-        known = known.withColumn("component", F.col("id")) if linked is None else known.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        return known.select("id", "component", "h1", "h2", "words", F.posexplode(bands).alias("band", "key"))
-
-    some = keyed(F.slice("bands", 1, first), None)
-    met = stored(distinct_buckets(some), "near-first")
-    linked = components(verified(star_tiles(some, met, tile), "first"), "near-first")
-    everything = keyed(F.col("bands"), linked)
-    settled = met.where(_blocks("members", "words", tile) == 1).select("members", "m1", "m2")  # all pairs were compared
-    open_ = stored(distinct_buckets(everything).join(settled, ["members", "m1", "m2"], "left_anti"), "near-open")
-    if not open_.isEmpty():
-        more = stored(verified(rest_tiles(everything, open_, tile), "rest"), "near-more")
-        linked = components(linked.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), "near")
+    keyed = classes.where("id IS NOT NULL").select("id", "h1", "h2", "words", F.posexplode("bands").alias("band", "key"))
+    chosen = stored(distinct_buckets(keyed), "near-buckets")
+    members = stored(keyed.drop("h1", "h2").join(chosen.hint("merge"), ["band", "key"]), "near-members")
+    linked = components(verified(star_tiles(members.where(F.col("band") < first), tile), "first"), "near-first")
+    compared = (F.col("band") < first) & (_blocks("members", "all_words", tile) == 1)  # all pairs were
+    placed = members.where(~compared).join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = stored(verified(rest_tiles(placed, tile), "rest"), "near-rest")
+    if not rest.isEmpty():
+        linked = components(linked.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(rest), "near")
     results = classes.select("h1", "h2", "id").join(linked, "id", "left").select("h1", "h2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("group_id"))
     results = stored(results, "near-results")
     joined = own.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("h1")).alias("h1"), "h2").join(results, ["h1", "h2"], "left")

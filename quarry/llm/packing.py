@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,23 +20,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarry.llm import scan
 from quarry.llm.shared import over_batches, stored
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces of a length are ranked in groups of about 1/GROUPS of all, however common the length.
 GROUPS = 4096
-#: Characters up to here are classed by tables; texts with others are split by the tokenizer itself.
-LAST = 0x24F
-#: Pieces of a text, of so many characters at most, whose ids an encoder remembers; then it begins anew.
-REMEMBERED, LONGEST = 1 << 17, 32
-
-
-def _splitter() -> re.Pattern:
-    """How byte-level BPE files with their usual rule split a text of characters up to LAST before merging."""
-    kind = lambda letter: "".join(f"\\u{i:04x}" for i in range(LAST + 1) if unicodedata.category(chr(i))[0] == letter)
-    letters, numbers, spaces = kind("L"), kind("N"), r"\t\n\x0b\x0c\r \x85\xa0"
-    # fixed value: the rule, with its classes written out
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+#: Fixed value: how byte-level BPE files of this kind split a text before merging.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space of more than one byte, in UTF-8.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_LATIN = re.compile("[\0-\u024f]*").fullmatch
 
 
 def _byte_names() -> dict[str, int]:
@@ -48,7 +41,7 @@ def _byte_names() -> dict[str, int]:
 
 
 def _by_rank(tokenizer, model: dict):  # noqa: ANN001, ANN202
-    """A tiktoken encoder that merges pieces by the tokens' ids, or None where that may differ from the file's merges.
+    """A tiktoken encoder that merges by the tokens' ids; None where that may differ from the file's merges.
 
     The two agree if merges make tokens in the order of their ids, one merge a token, and
     each token alone comes out as itself. For then, where two neighbours make up a token
@@ -64,45 +57,108 @@ def _by_rank(tokenizer, model: dict):  # noqa: ANN001, ANN202
     if not whole or any(len(tokenizer.model.tokenize(token)) != 1 for token in vocabulary):
         return None
     ranks = {bytes(names[c] for c in token): i for token, i in vocabulary.items()}
-    return tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
     """Ids of whole texts by a ``tokenizers`` file, without added special tokens.
 
-    Where the file has the usual byte-level rule, a text of Latin letters without special
-    tokens is split here, and each distinct piece is merged once: pieces are merged one by
-    one, so that a piece's ids are the same in any text.
+    Where the file has the usual byte-level rule, no piece of a text reaches from a word
+    into the white space behind it, and of that before it only one space belongs to the
+    word. So a word's ids depend on nothing else: of many texts each distinct word is encoded
+    once, and the ids are put together in numpy. Texts with special tokens or with
+    white space of several bytes go the plain way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.plain.get_added_tokens_decoder().values()]
+        self.special = [x.content.encode() for x in self.plain.get_added_tokens_decoder().values()]
         own = json.loads(self.plain.to_str())
         rule, model = own["pre_tokenizer"] or {}, own["model"]
         usual = rule.get("type") == "ByteLevel" and not rule.get("add_prefix_space") and rule.get("use_regex", True) and own["normalizer"] is None
         plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        self.split = _splitter() if usual and plain else None
-        self.fast = _by_rank(self.plain, model) if self.split else None
-        self.simple = re.compile(f"[\0-{chr(LAST)}]*").fullmatch
-        self.known: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.fast.encode_ordinary(piece) if self.fast else self.plain.encode(piece, add_special_tokens=False).ids
-        ids = np.array(ids, "<u4").tobytes()
-        if len(piece) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+        self.fast = _by_rank(self.plain, model) if usual and plain else None
+        self.sizes = np.array([len(self.fast.decode_single_token_bytes(i)) for i in range(self.fast.n_vocab)]) if self.fast else None  # bytes of each id
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.split is None or not self.simple(text) or any(x in text for x in self.special):
-            return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
-        find, piece = self.known.get, self._piece
-        return np.frombuffer(b"".join([find(x) or piece(x) for x in self.split.findall(text)]), "<u4")
+        return next(self.each(next(scan.texts_of(pa.array([text], pa.large_string()), 1 << 60))[2]))
+
+    def _plainly(self, text: str) -> np.ndarray:
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _space(self, space: bytes, bare_word: bool) -> np.ndarray:
+        """White space that belongs to no word: one piece, but for its last sign right before a word."""
+        parts = [space[:-1], space[-1:]] if bare_word and len(space) > 1 else [space]
+        return np.concatenate([self._plainly(x.decode()) for x in parts])
+
+    def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts in a row, where each part's end); a part begins with white space and has no other before a word."""
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        text = b"".join(parts).decode()
+        ends = np.cumsum([len(x) for x in parts])
+        if not _LATIN(text):
+            ids = [self.plain.encode(x.decode(), add_special_tokens=False).ids for x in parts]
+            return np.array([i for x in ids for i in x], np.uint32), np.cumsum([len(x) for x in ids])
+        ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        return ids, np.searchsorted(np.cumsum(self.sizes[ids]), ends, "right")
+
+    def each(self, t: scan.Texts) -> Iterator[np.ndarray]:
+        """The ids of each text of ``t``, whose words lie between ASCII white space."""
+        data = t.data.tobytes()
+        if self.fast is None:
+            for a, b in zip(t.offsets[:-1], t.offsets[1:], strict=True):
+                yield self._plainly(data[a:b].decode())
+            return
+        odd = np.zeros(t.n, bool)
+        for place in [*(m.start() for m in _WIDE_SPACE.finditer(data)), *(m.start() for x in self.special for m in re.finditer(re.escape(x), data))]:
+            odd[np.searchsorted(t.offsets, place, "right") - 1] = True
+
+        worded = t.n_words > 0
+        before = np.concatenate([[0], t.ends])[: len(t.starts)]  # where the word before ends, or the text begins
+        before[t.bounds[:-1][worded]] = t.offsets[:-1][worded]
+        spaced = (t.starts > before) & (t.data[np.maximum(t.starts, 1) - 1] == 0x20) if len(t.data) else np.zeros(0, bool)
+        begin = t.starts - spaced
+        keys = scan.mixed(t.word_hashes() + spaced.astype(np.uint64))
+        order = np.argsort(keys)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order[1:]] != keys[order[:-1]]
+        unit = np.empty(len(keys), np.int64)
+        unit[order] = np.cumsum(new) - 1
+        first = order[new]
+        # words without a space of their own get a line break, whose id is dropped
+        bare = ~spaced[first]
+        parts = [b"\n" + data[a:b] if c else data[a:b] for a, b, c in zip(begin[first].tolist(), t.ends[first].tolist(), bare.tolist(), strict=True)]
+        store, ends = self._encoded(parts)
+        starts = np.concatenate([[0], ends[:-1]])[: len(ends)] + bare
+        sizes = ends - starts
+
+        # white space of its own: before a word, or at the end of a text
+        at = np.flatnonzero(begin > before)
+        last = np.where(worded, np.concatenate([[0], t.ends])[t.bounds[1:]], t.offsets[:-1])
+        tail = np.flatnonzero(t.offsets[1:] > last)
+        spaces: dict[tuple[bytes, bool], int] = {}
+        number = [spaces.setdefault((data[a:b], c), len(spaces)) for a, b, c in zip(np.concatenate([before[at], last[tail]]).tolist(), np.concatenate([begin[at], t.offsets[1:][tail]]).tolist(), np.concatenate([~spaced[at], np.zeros(len(tail), bool)]).tolist(), strict=True)]
+        own = [self._space(*x) for x in spaces]
+        where, owner = np.concatenate([at, t.bounds[1:][tail]]), np.concatenate([t.doc[at], tail])
+        order = np.lexsort((owner, where))
+        unit = np.insert(unit, where[order], len(parts) + np.array(number, np.int64)[order])
+        sizes = np.concatenate([sizes, [len(x) for x in own]]).astype(np.int64)
+        starts = np.concatenate([starts, len(store) + np.cumsum([0, *(len(x) for x in own)])[:-1]]).astype(np.int64)
+        store = np.concatenate([store, *own]).astype(np.uint32)
+
+        length = sizes[unit]
+        ends = np.cumsum(length)
+        ids = store[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[unit] - (ends - length), length)]
+        units = np.concatenate([[0], np.cumsum(t.n_words + np.bincount(owner, minlength=t.n))])
+        cuts = np.concatenate([[0], ends])[units]
+        for k in range(t.n):
+            if odd[k]:
+                yield self._plainly(data[t.offsets[k] : t.offsets[k + 1]].decode())
+            else:
+                yield ids[cuts[k] : cuts[k + 1]]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
@@ -131,9 +187,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if tokenizer not in encoders:
             encoders[tokenizer] = Encoder(tokenizer)
-        encode, row, out = encoders[tokenizer], [], []
-        for i, x in enumerate(batch.column(batch.num_columns - 1)):
-            ids = np.append(encode(x.as_py() or ""), END_ID).astype("<u4")
+        row, out = [], []
+        texts = (x for _, _, t in scan.texts_of(batch.column(batch.num_columns - 1)) for x in encoders[tokenizer].each(t))
+        for i, x in enumerate(texts):
+            ids = np.append(x, END_ID).astype("<u4")
             for k, (start, length) in enumerate(cut(len(ids), capacity)):
                 own = ids[start : start + length]
                 row.append(i)

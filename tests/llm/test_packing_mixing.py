@@ -3,10 +3,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing
+from quarry.llm import mixing, packing, scan
 from quarry.llm.queries import tokenizer_file
 from tests import oracle
 from tests.llm.conftest import words
@@ -136,3 +139,32 @@ def test_mix_odd_rows(spark, odd_docs, no_docs):
     assert all(n == 2 for n in four.values())  # a repeated row is copied as often
     assert mixing.mixed(no_docs).collect() == []
     assert mixing.mixed(odd_docs, {}).collect() == []
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return packing.Encoder(tokenizer_file())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("abcs'  \t\n\r.,-7語é  　\x1c\x85")), max_size=30), min_size=1, max_size=8))
+def test_ids_are_those_of_the_tokenizer(encoder, texts):
+    texts = [*texts, "<|endoftext|> a", "a b a b"]
+    got = [x for _, _, t in scan.texts_of(pa.array(texts), 40) for x in encoder.each(t)]
+    assert encoder.fast is not None
+    assert [x.tolist() for x in got] == [encoder.plain.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_a_file_whose_merges_are_not_by_rank_goes_the_plain_way(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    own = json.loads(Tokenizer.from_file(tokenizer_file()).to_str())
+    a, b = (own["model"]["vocab"]["".join(m)] for m in own["model"]["merges"][:2])
+    own["model"]["merges"][:2] = own["model"]["merges"][1::-1]
+    assert a < b
+    path = tmp_path / "turned.json"
+    path.write_text(json.dumps(own))
+    encoder = packing.Encoder(str(path))
+    assert encoder.fast is None and encoder("the cat  sat").tolist() == encoder.plain.encode("the cat  sat", add_special_tokens=False).ids
