@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +20,29 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str, success: Column,
     )
 
 
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, accuracy: int = 10_000) -> DataFrame:
+    """The least value that a share ``q`` of a group's values doesn't exceed, by group: nulls don't count.
+
+    A sketch brackets it first, then only the values within the bracket, a few in
+    ``accuracy``, are ranked, so that no task holds a large group.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    slack = 3 / accuracy
+    ends = F.percentile_approx("__v", [max(q - slack, 0.0), min(q + slack, 1.0)], accuracy)
+    brackets = rows.groupBy(*keys).agg(ends.alias("__ends"), F.count("*").alias("__all")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__ends", "__all")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    low, high = F.get("__ends", F.lit(0)), F.get("__ends", F.lit(1))
+    counted = rows.join(brackets, on).where(F.col("__v") <= high).groupBy(*keys, "__all", F.when(F.col("__v") >= low, F.col("__v")).alias("__v")).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__v")))
+    wanted = F.greatest(F.ceil(F.lit(q) * F.col("__all")), F.lit(1))
+    ranked = counted.withColumn("__upto", upto).withColumn("__wanted", wanted)
+    return ranked.where("__v IS NOT NULL AND __upto >= __wanted AND __upto - __n < __wanted").select(*keys, F.col("__v").alias(out))
+
+
 def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """The element in the upper middle of each group's sorted values (A23), by rank rather than by collecting."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("__n", F.row_number().over(w.orderBy(value))).withColumn("__all", F.count("*").over(w))
-    return ranked.where(F.col("__n") == F.floor(F.col("__all") / 2) + 1).select(*keys, F.col(value).alias("upper_median"))
+    """The element in the upper middle of each group's sorted numbers (A23): the lower middle from above."""
+    turned = df.withColumn("__turned", -F.col(value))
+    return exact_quantile(turned, keys, "__turned", 0.5, "upper_median").withColumn("upper_median", -F.col("upper_median"))
 
 
 def unfinished_calls(explicit: Column, running: Column, started: Column, completed: Column, errored: Column) -> Column:

@@ -248,6 +248,37 @@ def m8_vacuum(s, d):
     return c.table("symbols").agg(F.count("*").alias("symbols")).withColumn("freed", F.lit(freed))
 
 
+@query("k3_decorators", "SELECT package, version, id AS from_id, unnest([0, 1, 2])::INTEGER AS place, unnest(['Part', lower(package), 'Part']) AS name, unnest(['[]', '[\"' || name || '\"]', '[]']) AS arguments FROM symbols")
+def k3_decorators(s, d):
+    """Saved as a bag: the repeated one is kept."""
+    one = lambda name, arguments: F.struct(name.alias("name"), arguments.alias("arguments"))
+    tables, plain = _tables(s, d), one(F.lit("Part"), F.lit("[]"))
+    c = catalog.Catalog(s, f"{iterate.shared_dir(s)}/quarry-catalog-{uuid.uuid4().hex}", buckets=8)
+    names = [f.name for f in StructType.fromDDL(graph.SYMBOLS)]
+    c.save(tables["packages"], tables["symbols"].select("seq", *names, F.array(plain, one(F.lower("package"), F.concat(F.lit('["'), "name", F.lit('"]'))), plain).alias("decorators")), "k")
+    return c.table("symbol_decorators")
+
+
+@query("k10_stdio", "SELECT 'packages' AS called, (SELECT count(*) FROM packages)::BIGINT AS rows, false AS failed UNION ALL SELECT 'sql', (SELECT count(DISTINCT name) FROM symbols), false UNION ALL SELECT 'write', 0, true")
+def k10_stdio(s, d):
+    """Three calls of the two tools, as a client's lines."""
+    import io
+    import json
+
+    from quarry.plans import stdio
+
+    calls = {"packages": ("query", {"command": "packages"}), "sql": ("sql", {"sql": "SELECT DISTINCT name FROM symbols", "max_rows": 100000}), "write": ("sql", {"sql": "DROP TABLE symbols"})}
+    lines = [json.dumps({"jsonrpc": "2.0", "id": k, "method": "tools/call", "params": {"name": tool, "arguments": given}}) for k, (tool, given) in calls.items()]
+    out = io.StringIO()
+    stdio.serve(_given(s, d), lines, out)
+    rows = []
+    for answer in map(json.loads, out.getvalue().splitlines()):
+        failed, text = answer["result"].get("isError", False), answer["result"]["content"][0]["text"]
+        n = 0 if failed else len(json.loads(text)["data"]) if answer["id"] == "packages" else len(text.splitlines())
+        rows.append((answer["id"], n, failed))
+    return s.createDataFrame(rows, "called string, rows long, failed boolean")
+
+
 # --- recipes over the catalog's views (R1-R7, J7, J8, J20) --------------------------------
 
 _RECIPES = {
@@ -300,7 +331,7 @@ def k8_plain_hits(s, d):
     return _lines(s, api.plain_hits([r.asDict() for r in api.symbol(_given(s, d), "red plate", limit=5).collect()]))
 
 
-@query("s14_schema", "SELECT 'packages' AS name, 0::BIGINT AS place UNION ALL SELECT 'symbols', 1 UNION ALL SELECT 'symbol_dependencies', 2 UNION ALL SELECT 'symbol_surface_dependencies', 3 UNION ALL SELECT 'symbol_inherited_from', 4 UNION ALL SELECT 'symbol_additional_files', 5 UNION ALL SELECT 'symbol_heritage', 6 UNION ALL SELECT 'symbol_modifiers', 7 UNION ALL SELECT 'package_dependencies', 8")
+@query("s14_schema", "SELECT 'packages' AS name, 0::BIGINT AS place UNION ALL SELECT 'symbols', 1 UNION ALL SELECT 'symbol_dependencies', 2 UNION ALL SELECT 'symbol_surface_dependencies', 3 UNION ALL SELECT 'symbol_inherited_from', 4 UNION ALL SELECT 'symbol_additional_files', 5 UNION ALL SELECT 'symbol_heritage', 6 UNION ALL SELECT 'symbol_modifiers', 7 UNION ALL SELECT 'symbol_decorators', 8 UNION ALL SELECT 'package_dependencies', 9")
 def s14_schema(s, d):
     return s.createDataFrame(list(enumerate(api.schema(_given(s, d)))), "place long, name string")
 

@@ -423,11 +423,13 @@ def a8_merge_key(s, d):
 
 @query(
     "identical_fold",
-    r"""SELECT min(doc_id) AS representative, count(*) AS n, list_sort(list(doc_id)) AS ids FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) GROUP BY t HAVING count(*) > 1""",
+    r"""SELECT doc_id, representative, n FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS representative, count(*) OVER (PARTITION BY t) AS n FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)) WHERE n > 1""",
 )
 def identical_fold(s, d):
+    """One row a member, with its group's representative: no group is gathered in a row."""
     keyed = T(s, d, "documents").select("doc_id", F.sha2(X.normalize_signature(F.col("text")), 256).alias("key"))  # a digest, not the text, is shuffled
-    return keyed.groupBy("key").agg(F.min("doc_id").alias("representative"), F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids")).where("n > 1").drop("key")
+    groups = keyed.groupBy("key").agg(F.min("doc_id").alias("representative"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(groups, "key").select("doc_id", "representative", "n")
 
 
 @query("a11_provenance_labels", "SELECT p_name, list_sort(list_distinct(list(CASE p_size % 3 WHEN 0 THEN 'identical_fold' WHEN 1 THEN 'merge_scope' ELSE 'overload_key' END))) AS kinds FROM part GROUP BY 1")

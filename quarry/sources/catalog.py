@@ -27,7 +27,7 @@ BUCKETS = 64
 #: Names of the stored schema's tables and columns.
 TABLES = {
     "packages": "name string, version string, package_dir string, symbols long, files long, indexed_at long, cache_key string, backfill_revision int, dependencies array<string>",
-    "symbols": "seq long, " + graph.SYMBOLS + ", since_major long, since_minor long, since_patch long",
+    "symbols": "seq long, " + graph.SYMBOLS + ", since_major long, since_minor long, since_patch long, decorators array<struct<name:string,arguments:string>>",
     "postings": "package string, version string, term string, id string, col string, positions array<int>",
     "lengths": "package string, version string, id string, len long",
 }
@@ -122,6 +122,9 @@ class Catalog:
             column, shown = CHILDREN[name]
             rows = self.table("symbols", state, package)
             return rows.select("package", "version", F.col("id").alias("from_id"), F.explode(F.array_distinct(column)).alias(shown))
+        if name == "symbol_decorators":  # a bag: a decorator that stands twice is two rows (K3)
+            rows = self.table("symbols", state, package).select("package", "version", F.col("id").alias("from_id"), F.posexplode("decorators").alias("place", "d"))
+            return rows.select("package", "version", "from_id", "place", "d.name", "d.arguments")
         if name == "package_dependencies":
             return self.table("packages", state, package).select("name", "version", F.explode(F.array_distinct("dependencies")).alias("dependency"))
         state = state or self.state()
@@ -139,7 +142,7 @@ class Catalog:
 
     def views(self, package: str | None = None) -> dict[str, DataFrame]:
         state = self.state()
-        return {t: self.table(t, state, package) for t in (*SHOWN, *CHILDREN, "package_dependencies")}
+        return {t: self.table(t, state, package) for t in (*SHOWN, *CHILDREN, "symbol_decorators", "package_dependencies")}
 
     def index(self, package: str | None = None) -> search.Index:
         """The kept text index."""
@@ -180,6 +183,8 @@ class Catalog:
 
         state, have = self.state(), set(packages.columns)
         since = since_semver(F.col("since"))
+        if "decorators" not in symbols.columns:  # the parser skips them
+            symbols = symbols.withColumn("decorators", F.lit(None).cast("array<struct<name:string,arguments:string>>"))
         new = symbols.withColumn("seq", F.monotonically_increasing_id() if "seq" not in symbols.columns else F.col("seq")).withColumns({f"since_{k}": since[k] for k in ("major", "minor", "patch")})
         new = stored(new.select(*StructType.fromDDL(TABLES["symbols"]).names), "save")  # the input runs once; numbers are fixed from here
         if not new.groupBy("package", "version", "id").count().where("count > 1").isEmpty():
