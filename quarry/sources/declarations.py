@@ -54,10 +54,11 @@ class Member:
 
 @dataclass
 class Type:
-    """What flattening needs of a type: ``object``, ``all`` (intersection), ``name``, ``typeof`` or ``other``."""
+    """What flattening needs of a type: ``object``, ``all`` (intersection), ``name``, ``typeof``, ``import`` or ``other``."""
 
     kind: str
     name: str = ""
+    source: str = ""  # of an import
     members: list[Member] = field(default_factory=list)
     parts: list[Type] = field(default_factory=list)
 
@@ -85,6 +86,7 @@ class Export:
     is_global: bool = False
     enclosing: str | None = None
     declared_in: str | None = None
+    remote: tuple[str, str] | None = None  # specifier and name of what its type imports whole
 
     @property
     def space(self) -> str:
@@ -163,7 +165,7 @@ def documentation(comment: str) -> dict[str, str | None]:
             parts.append([x.lstrip()])
         else:
             parts[-1].append(x)
-    out["js_doc"] = "\n".join(parts[0]).strip() or None
+    out["js_doc"] = "\n".join(x for x in parts[0] if x.strip()).strip() or None  # empty lines go
     for p in parts[1:]:
         tag, _, rest = " ".join(p).strip().partition(" ")
         name, rest = tag[1:], rest.strip()
@@ -460,7 +462,7 @@ class _Reader:
         if name:
             self.refer(name, source, hint)
         self.arguments()
-        return Type("other")
+        return Type("import", name, source) if name and "." not in name else Type("other")
 
     def _is_function(self) -> bool:
         after = self.match(self.at)
@@ -811,6 +813,8 @@ class _File(_Reader):
         self.described(base, begin)
         for m in rows[1:]:
             m.is_explicit = explicit
+            if m.js_doc is None and base.kind == "ClassDeclaration":
+                m.js_doc = base.js_doc
             if m.deprecated is None:
                 m.deprecated = base.deprecated
             if m.visibility is None:
@@ -906,7 +910,7 @@ class _File(_Reader):
         elif shape.kind == "all":
             for p in shape.parts:
                 yield from self.flattened(name, p, depth + 1, seen)
-        elif shape.kind in ("name", "typeof") and depth > 0 or shape.kind == "typeof":
+        elif shape.kind == "typeof" or (shape.kind == "name" and (depth > 0 or not self.prefixes)):
             if shape.name in self.local and shape.name not in seen:
                 yield from self.flattened(name, self.local[shape.name], depth + 1, seen | {shape.name})
 
@@ -921,7 +925,7 @@ class _File(_Reader):
         shape, references = self.collecting(body)
         self.end()
         self.local[name] = shape
-        return [Export(name, "TypeAliasDeclaration", references=references, is_type_only=True), *self.flattened(name, shape)]
+        return [Export(name, "TypeAliasDeclaration", references=references, is_type_only=True, remote=remote(shape)), *self.flattened(name, shape)]
 
     def enum(self, name: str) -> list[Export]:
         self.at = self.match(self.at) if self.peek() == "{" else self.at
@@ -945,7 +949,7 @@ class _File(_Reader):
             if self.maybe("="):
                 self.expression(",", ";")
             if name is not None:
-                row = self.described(Export(name, "VariableStatement", f"declare const {name}: {text}", references=references, modifiers=sorted(set(flags)), is_explicit=explicit), begin)
+                row = self.described(Export(name, "VariableStatement", f"declare const {name}: {text}", references=references, modifiers=sorted(set(flags)), is_explicit=explicit, remote=remote(shape)), begin)
                 rows.append(row)
                 if shape is not None:
                     self.local.setdefault(name, shape)
@@ -996,6 +1000,10 @@ class _File(_Reader):
         return [row, *inner]
 
 
+def remote(shape: Type | None) -> tuple[str, str] | None:
+    return (shape.source, shape.name) if shape is not None and shape.kind == "import" else None
+
+
 def qualify(parent: str, rows: list[Export]) -> None:
     """Prefixes names with their namespace; members and references of renamed types follow."""
     own = lambda x: x == parent or not x.startswith(f"{parent}.")

@@ -107,6 +107,21 @@ class Package:
                         self.hops[t] = hop
                         following.append(t)
             layer = sorted(following)
+        for file in sorted(self.parsed):
+            self.expand(file)
+
+    def expand(self, file: str) -> None:
+        """Members of what a declaration's type imports whole become members of the declaration, declared where they stand."""
+        out: list[Export] = []
+        for e in self.parsed[file].exports:
+            out.append(e)
+            for target in self.resolve(e.remote[0], file) if e.remote else ():
+                prefix = f"{e.remote[1]}."
+                for m in self.parsed[target].exports if target in self.parsed and target != file else ():
+                    if m.name.startswith(prefix) and m.declared_in is None:
+                        name = f"{e.name}.{m.name[len(prefix):].removeprefix('prototype.')}"
+                        out.append(replace(m, name=name, is_explicit=e.is_explicit, is_global=e.is_global, enclosing=e.enclosing, declared_in=target))
+        self.parsed[file].exports[:] = out
 
     # export resolution (G3) --------------------------------------------------------------
 

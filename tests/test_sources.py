@@ -124,6 +124,33 @@ def test_inherited_members_belong_to_the_heir():
     assert rows["Low.shared"]["file_path"] == "base.d.mts"  # reached through a specifier of a script
 
 
+def test_imported_and_named_types_bring_their_members():
+    files = {
+        "/p/package.json": '{"name":"p"}',
+        "/p/index.d.ts": """export type Far = import("./far.js").Remote;
+export type Chain = import("./far.js").Outer.Leaf;
+declare namespace NS { var box: typeof import("./far").Cls; interface Near { a: 1 } var near: Near }
+export declare const box: typeof import("./far").Cls;
+/**
+ * About a class.
+ *
+ * More of it.
+ */
+export declare class Own { plain(): void; /** Told. */ told(): void }
+export type Alias = Own;
+""",
+        "/p/far.d.ts": "export interface Remote { n: number }\nexport namespace Outer { export interface Leaf { flag: boolean } }\nexport declare class Cls { ping(): void }",
+    }
+    rows = {s["id"].removeprefix("p@0.0.0::"): s for s in graph.build(files, "/p")}
+    far = rows["Far.n"]
+    assert far["file_path"] == "far.d.ts" and far["additional_files"] == ["index.d.ts"] and far["entry_visibility"] == ["index.d.ts"] and far["parent_id"] == "p@0.0.0::Far"
+    assert far["merge_provenance"] == ["merge_scope", "overload_key"]
+    assert rows["box.ping"]["file_path"] == "far.d.ts" and rows["index.d.ts::NS.box.ping"]["parent_id"] == "p@0.0.0::index.d.ts::NS.box"
+    assert not any(k.startswith(("Chain.", "index.d.ts::NS.near.")) for k in rows)
+    assert rows["Own.prototype.plain"]["js_doc"] == "About a class.\nMore of it." and rows["Own.prototype.told"]["js_doc"] == "Told."
+    assert rows["Alias.plain"]["kind"] == "MethodDeclaration"
+
+
 def test_ambient_names_stand_for_runtime_modules():
     text = "declare namespace NodeJS { interface Timer extends events.EventEmitter {} interface Plain { a: 1 } }\nexport declare function wait(t: NodeJS.Timer, p: NodeJS.Plain, o: NodeJS.Other): void;"
     rows = {s["name"]: s for s in graph.build({"/p/package.json": '{"name":"p"}', "/p/index.d.ts": text}, "/p")}
