@@ -184,6 +184,7 @@ def rest_tiles(members: DataFrame, tile: int) -> DataFrame:
     sizes = sizes.groupBy("band", "key").agg(most.alias("m"), F.sum("n").alias("all_n"), F.sum("w").alias("all_w")).where("m.n < all_n")
     sizes = sizes.select("band", "key", F.col("m.component").alias("main"), "all_n", "all_w", (F.col("all_n") - F.col("m.n")).alias("n"), (F.col("all_w") - F.col("m.w")).alias("w"))
     sizes = sizes.select("band", "key", "main", _blocks("n", "w", tile).alias("outer"), _blocks("all_n", "all_w", tile).alias("blocks"))
+    sizes = stored(sizes, "near-open")  # apart from the join, so that a large bucket's members can be split there
     placed = members.join(sizes.hint("merge"), ["band", "key"])
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     everyone = placed.select("band", "key", F.explode(upto("outer")).alias("i"), _block("blocks").alias("j"), "id")

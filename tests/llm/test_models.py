@@ -186,3 +186,18 @@ def test_a_text_over_the_bound_does_not_end_the_sample(spark):
         docs = spark.createDataFrame([(i, "x" * (2_000 if i == long else 20)) for i in order], "doc_id long, text string")
         labels = docs.select("doc_id", F.lit(1).alias("toxic"))
         assert training.sample(docs, labels, "toxic", F.lit(True), rows=39, text_bytes=1_000)["text"].to_pylist() == ["x" * 20] * 39
+
+
+def test_models_are_the_same_with_a_text_beyond_the_bound(spark, judged, tongues):
+    """A 30 MB text that comes first in the sample's order changes no prediction of the others."""
+    docs, labels = judged
+    first = [r.doc_id for r in spark.range(5_000, 500_000).select(F.col("id").alias("doc_id")).where(training.fold("doc_id", 60) == 8).orderBy(F.xxhash64(F.lit("sample"), "doc_id")).limit(1).collect()][0]
+    long = docs.limit(1).select(F.lit(first).cast("long").alias("doc_id"), F.repeat(F.lit("grumble ka "), 30 * (1 << 20) // 11).alias("text"))
+    for module, target in ((toxicity, "toxic"), (quality_model, "quality")):
+        more = labels.unionByName(spark.createDataFrame([(first, 0, 1)], "doc_id long, quality int, toxic int"))
+        a, b = module.trained(docs, labels), module.trained(docs.unionByName(long), more)
+        x, y = ({r.doc_id: r.score for r in module.scored(docs, m).collect()} for m in (a, b))
+        assert x == y, target
+    a, b = language.trained(tongues), language.trained(tongues.unionByName(long.withColumn("lang", F.lit("yy"))))
+    x, y = ([(r.doc_id, r.lang_pred, r.score) for r in language.identified(tongues, m).orderBy("doc_id").collect()] for m in (a, b))
+    assert x == y and {r[1] for r in x} == {"xx", "yy", "zz"}

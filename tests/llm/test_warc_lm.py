@@ -56,6 +56,14 @@ def test_sql_agrees(spark, tmp_path, pages):
     assert oracle.difference(out, con, warc.SQL) is None
 
 
+def test_a_page_longer_than_a_batch_of_the_reader(spark):
+    rows = [(1, "a", "x"), (2, "b", "<p>é</p>" * 3_000_000), (3, "c", "y"), (4, "d", None)]
+    got = {r.page_id: r for r in warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))).collect()}
+    for i, _, html in rows:
+        data = (html or "").encode()
+        assert got[i].payload_bytes == len(data) and got[i].payload_digest == warc.digest(data) and bytes(got[i].payload) == data
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(warc.write(none)).collect() == []
