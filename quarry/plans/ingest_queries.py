@@ -125,6 +125,111 @@ def _with_root(s, d) -> DataFrame:
     return built.where("NOT is_internal")
 
 
+@query("s4_packages_of_a_name", "SELECT p_partkey, '1.0.0' AS version FROM part")
+def s4_packages_of_a_name(s, d):
+    from quarry.sources import packages
+
+    return packages.named(packages.scan(_files(s, d)), "lib").select(_key("package_dir").alias("p_partkey"), "version")
+
+
+_LAYOUTS = [  # manifest, other files, entries
+    ({"exports": {".": {"import": "./dist/main.mjs", "default": "./x.js"}, "./package.json": "./package.json"}}, ["dist/main.d.mts", "x.d.ts"], ["dist/main.d.mts"]),
+    ({"typesVersions": {"<4.0": {"*": ["old/*"]}, ">=5.0": {"*": ["ts5/*"]}}}, ["old/index.d.ts", "ts5/index.d.ts", "index.d.ts"], ["ts5/index.d.ts"]),
+    ({"exports": {"./features/*": {"types": ["./gen/*.d.ts"]}}}, ["gen/b.d.ts", "gen/a.d.ts", "gen/deep/c.d.ts"], ["gen/a.d.ts", "gen/b.d.ts"]),
+    ({"types": "lib/index.js"}, ["lib/index.d.ts", "index.d.ts"], ["lib/index.d.ts"]),
+    ({}, ["index.d.ts"], ["index.d.ts"]),
+]
+
+
+@query("s7_manifest_entries", "SELECT p_partkey, CASE p_size % 5 " + " ".join(f"WHEN {k} THEN {e}" for k, (_, _, e) in enumerate(_LAYOUTS)) + " END AS entries FROM part")
+def s7_manifest_entries(s, d):
+    """Conditional exports, typesVersions, wildcards, types beside a script, the fallback."""
+    import json
+
+    import pandas as pd
+
+    from quarry.sources import manifests
+
+    def entries(batches):
+        for batch in batches:
+            rows = []
+            for key, size in zip(batch.p_partkey, batch.p_size, strict=True):
+                raw, others, _ = _LAYOUTS[size % len(_LAYOUTS)]
+                folder = f"/w{key}/node_modules/pkg"
+                text = json.dumps({"name": "pkg", **raw})
+                tree = manifests.Tree({f"{folder}/package.json": text, **{f"{folder}/{x}": "" for x in others}})
+                found = manifests.entry_of(tree, folder, manifests.read_manifest(text, "pkg"))
+                rows.append((key, [x.removeprefix(f"{folder}/") for x in found.files]))
+            yield pd.DataFrame(rows, columns=["p_partkey", "entries"])
+
+    return T(s, d, "part").select("p_partkey", "p_size").mapInPandas(entries, "p_partkey long, entries array<string>")
+
+
+@query("s15_merged_options", "SELECT 'max_hops' AS option, '3' AS value UNION ALL SELECT 'include', '[\"a*\"]' UNION ALL SELECT 'exclude', '[]' UNION ALL SELECT 'package_scope', '[\"dependencies\"]'")
+def s15_merged_options(s, d):
+    import json
+
+    from quarry.sources import config
+
+    got = config.merged(config.DEFAULTS, config.from_mapping({"max_hops": 5, "include": ["a*"]}), config.from_mapping({"max_hops": 3}))
+    return s.createDataFrame([(k, json.dumps(getattr(got, k))) for k in ("max_hops", "include", "exclude", "package_scope")], "option string, value string")
+
+
+@query("s16_first_installed", "SELECT name, version, package_dir FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN package_dir LIKE '/b/%' THEN 0 WHEN package_dir LIKE '/a/%' THEN 1 ELSE 2 END, package_dir) AS n FROM (SELECT p_brand AS name, CAST(p_size AS STRING) AS version, concat('/', substr('abc', CAST(p_partkey % 3 + 1 AS INT), 1), '/', p_partkey, '/', p_brand) AS package_dir FROM part)) WHERE n = 1")
+def s16_first_installed(s, d):
+    from quarry.sources import packages
+
+    root = F.element_at(F.array(F.lit("/a"), F.lit("/b"), F.lit("/c")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = T(s, d, "part").select(F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("version"), F.concat_ws("/", root, "p_partkey", "p_brand").alias("package_dir"))
+    return packages.first_installed(rows, ["/b/", "/a/"])
+
+
+@query("o9_file_layers", "SELECT p_partkey, unnest(['index.d.ts', '__outside__/__up__/lib/index.d.ts', 'shapes.d.ts']) AS path, unnest([0, 1, 1])::INTEGER AS hop, unnest([0, 0, 1])::INTEGER AS place FROM part")
+def o9_file_layers(s, d):
+    """The files of each part's package by hops, sorted within a layer."""
+    import pandas as pd
+
+    from quarry.sources import graph, manifests
+
+    def layers(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = int(pdf.p_partkey.iloc[0])
+        folder = f"/w{key}/node_modules/pkg"
+        p = graph.Package(dict(zip(pdf.path, pdf.text, strict=True)), folder, 10, ())
+        p.discover(manifests.entry_of(p.tree, folder, p.manifest).files)
+        places: dict[int, int] = {}
+        rows = []
+        for path, hop in p.hops.items():
+            rows.append((key, p.relative(path), hop, places.setdefault(hop, 0)))
+            places[hop] += 1
+        return pd.DataFrame(rows, columns=["p_partkey", "path", "hop", "place"])
+
+    return _files(s, d).withColumn("p_partkey", _key("path")).groupBy("p_partkey").applyInPandas(layers, "p_partkey long, path string, hop int, place int")
+
+
+@query(
+    "x17_declared_members",
+    f"""WITH {_W}, r AS (SELECT p_partkey, p_size, a, b FROM w)
+    SELECT p_partkey, a AS name, 'ModuleDeclaration' AS kind, [] AS refs, NULL AS js_doc, NULL AS deprecated, NULL AS since, NULL AS visibility FROM r
+    UNION ALL SELECT p_partkey, a || '.' || b, 'InterfaceDeclaration', [a || '.Other'], 'Holds ' || b || '.', 'use another', p_size || '.2', 'beta' FROM r
+    UNION ALL SELECT p_partkey, a || '.' || b || '.quoted-key', 'PropertySignature', [a || '.Other'], NULL, 'use another', p_size || '.2', 'beta' FROM r
+    UNION ALL SELECT p_partkey, a || '.' || b || '.[Symbol.iterator]', 'PropertySignature', [], NULL, 'use another', p_size || '.2', 'beta' FROM r
+    UNION ALL SELECT p_partkey, a || '.Other', 'InterfaceDeclaration', [], NULL, NULL, NULL, NULL FROM r
+    UNION ALL SELECT p_partkey, 'Deep', 'TypeAliasDeclaration', [], NULL, NULL, NULL, NULL FROM r UNION ALL SELECT p_partkey, 'Deep.one', 'PropertySignature', [], NULL, NULL, NULL, NULL FROM r
+    UNION ALL SELECT p_partkey, 'Deep.one.two', 'PropertySignature', [], NULL, NULL, NULL, NULL FROM r UNION ALL SELECT p_partkey, 'Deep.three', 'MethodSignature', [], NULL, NULL, NULL, NULL FROM r""",
+)
+def x17_declared_members(s, d):
+    """Qualified names, comments, keys and nested members of a declaration file made from each part."""
+    from quarry.sources import packages
+
+    text = F.format_string(
+        "declare namespace %1$s {\n/** Holds %2$s.\n * @deprecated use another\n * @since %3$d.2\n * @beta */\ninterface %2$s { 'quoted-key': Other; [Symbol.iterator]: 1 }\ninterface Other {}\n}\nexport type Deep = { one: { two: 1 } } & { three(): void };\n",
+        _word(1), _word(2), F.col("p_size"),
+    )
+    found = T(s, d, "part").where("p_name IS NOT NULL").select(F.concat(F.lit("/w"), "p_partkey", F.lit("/x.d.ts")).alias("path"), text.alias("text"))
+    rows = packages.parsed(found)
+    return rows.select(_key("path").alias("p_partkey"), "name", "kind", F.transform("refs", lambda r: r["name"]).alias("refs"), "js_doc", "deprecated", "since", "visibility")
+
+
 # --- catalog (K1-K4, M1-M9, J4) ----------------------------------------------------------
 
 
