@@ -230,6 +230,61 @@ def x17_declared_members(s, d):
     return rows.select(_key("path").alias("p_partkey"), "name", "kind", F.transform("refs", lambda r: r["name"]).alias("refs"), "js_doc", "deprecated", "since", "visibility")
 
 
+# names are {a} and {b} of the part, ids and what they point to are below its package
+_STRUCTURE = [  # id, kind, internal, parent, enclosing module, dependencies, surface, first re-export
+    ("Shown", "InterfaceDeclaration", False, None, None, ["UNIT"], [], None), ("Shown.size", "PropertySignature", False, "Shown", None, ["UNIT"], [], None),
+    ("{b}", "ModuleDeclaration", False, None, None, [], ["index.d.ts::{b}.Item", "index.d.ts::{a}", "shapes.d.ts::Box", "shapes.d.ts::Late"], None),
+    ("Crate", "InterfaceDeclaration", False, None, None, [], [], "index.d.ts"), ("make", "FunctionDeclaration", False, None, None, [], [], None),
+    ("Ambient", "InterfaceDeclaration", False, None, None, [], [], None), ("Ambient.here", "PropertySignature", False, "Ambient", None, [], [], None),
+    ("UNIT", "TypeAliasDeclaration", True, None, None, [], [], None), ("index.d.ts::{b}.Item.of.size", "PropertySignature", True, "index.d.ts::{b}.Item.of", "{b}", ["UNIT"], [], None),
+    ("index.d.ts::{b}.Item.of", "PropertySignature", True, "index.d.ts::{b}.Item", "{b}", ["index.d.ts::{a}"], [], None), ("index.d.ts::{b}.Item", "InterfaceDeclaration", True, "{b}", "{b}", ["index.d.ts::{a}"], [], None),
+    ("index.d.ts::{b}.use", "FunctionDeclaration", True, "{b}", "{b}", ["index.d.ts::{b}.Item", "shapes.d.ts::Box", "shapes.d.ts::Late"], [], None),
+    ("index.d.ts::{a}.size", "PropertySignature", True, "index.d.ts::{a}", None, ["UNIT"], [], None), ("index.d.ts::{a}", "InterfaceDeclaration", True, None, None, ["UNIT"], [], None),
+    ("index.d.ts::make", "FunctionDeclaration", True, None, None, ["Ambient"], [], None), ("shapes.d.ts::Box.side", "PropertySignature", True, "shapes.d.ts::Box", None, [], [], None),
+    ("shapes.d.ts::Box", "InterfaceDeclaration", True, None, None, [], [], None), ("shapes.d.ts::Late", "InterfaceDeclaration", True, None, None, [], [], None),
+]
+
+
+def _as_sql(x: str | None) -> str:
+    if x is None:
+        return "CAST(NULL AS STRING)"
+    return "p || '" + x.replace("UNIT", "__outside__/__up__/lib/index.d.ts::Unit").replace("{a}", "' || a || '").replace("{b}", "' || b || '") + "'"
+
+
+_STRUCTURE_SQL = f"WITH {_W}, r AS (SELECT *, 'pkg@' || p_size || '.0.0::' AS p FROM w) " + " UNION ALL ".join(
+    f"SELECT p_partkey, {_as_sql(i)} AS id, '{kind}' AS kind, {str(internal).lower()} AS is_internal, {_as_sql(parent)} AS parent_id, {_as_sql(module)} AS enclosing_module_id, "
+    f"list_sort([{', '.join(map(_as_sql, needs))}]) AS dependencies, list_sort([{', '.join(map(_as_sql, surface))}]) AS surface_dependencies, {f"'{first}'" if first else 'CAST(NULL AS STRING)'} AS re_exported_from FROM r"
+    for i, kind, internal, parent, module, needs, surface, first in _STRUCTURE
+)
+
+
+@query("graph_structure", _STRUCTURE_SQL)
+def graph_structure(s, d):
+    """A package with imports, a namespace, directives, a default and renamed exports for each part, by ``packages.graphs``."""
+    from quarry.sources import packages
+
+    p = T(s, d, "part")
+    folder = F.concat(F.lit("/w"), F.col("p_partkey").cast("string"), F.lit("/node_modules/"))
+    index = F.format_string(
+        '/// <reference path="./globals.d.ts" />\nimport { Unit as Size } from "lib";\nimport * as shapes from "./shapes";\ninterface %1$s { size: Size }\nexport { %1$s as Shown };\n'
+        'export namespace %2$s { interface Item { of: %1$s } function use(x: Item, y: shapes.Box): Late; }\nexport { Box as Crate } from "./shapes.js";\nexport default function make(): Ambient;\n',
+        _word(1), _word(2),
+    )
+    manifest = F.format_string('{"name": "pkg", "version": "%d.0.0", "types": "./index.d.ts"}', F.col("p_size"))
+    texts = {
+        "pkg/package.json": manifest, "pkg/index.d.ts": index, "pkg/shapes.d.ts": F.lit("export interface Box { side: number }\nexport interface Late {}\n"), "pkg/globals.d.ts": F.lit("interface Ambient { here: 1 }\n"),
+        "lib/package.json": F.lit('{"name": "lib", "version": "1.0.0"}'), "lib/index.d.ts": F.lit("export type Unit = number;\n"),
+    }
+    found = p.select("p_partkey", "p_size", F.explode(F.array(*[F.struct(F.concat(folder, F.lit(k)).alias("path"), v.alias("text")) for k, v in texts.items()])).alias("f"))
+    # versions tell packages apart but not parts of a size: a part's number goes into the version, and out again
+    marked = found.select("f.path", F.when(F.col("f.path").endswith("/pkg/package.json"), F.regexp_replace("f.text", r"(\d+)\.0\.0", F.concat(F.lit("$1.0.0+"), F.col("p_partkey").cast("string")))).otherwise(F.col("f.text")).alias("text"))
+    rows = packages.graphs(marked).where("package = 'pkg'")
+    bare = lambda c: F.regexp_replace(c, r"^(pkg@\d+\.0\.0)\+\d+::", "$1::")
+    lists = lambda c: F.array_sort(F.transform(c, bare))
+    key = F.regexp_extract("version", r"\+(\d+)$", 1).cast("long")
+    return rows.select(key.alias("p_partkey"), bare(F.col("id")).alias("id"), "kind", "is_internal", bare(F.col("parent_id")).alias("parent_id"), bare(F.col("enclosing_module_id")).alias("enclosing_module_id"), lists("dependencies").alias("dependencies"), lists("surface_dependencies").alias("surface_dependencies"), "re_exported_from")
+
+
 # --- catalog (K1-K4, M1-M9, J4) ----------------------------------------------------------
 
 
