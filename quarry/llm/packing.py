@@ -60,6 +60,16 @@ def _by_rank(tokenizer, model: dict):  # noqa: ANN001, ANN202
     return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct key, the number of each place's key among them)."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    unit = np.empty(len(keys), np.int64)
+    unit[order] = np.cumsum(new) - 1
+    return order[new], unit
+
+
 class Encoder:
     """Ids of whole texts by a ``tokenizers`` file, without added special tokens.
 
@@ -121,13 +131,7 @@ class Encoder:
         before[t.bounds[:-1][worded]] = t.offsets[:-1][worded]
         spaced = (t.starts > before) & (t.data[np.maximum(t.starts, 1) - 1] == 0x20) if len(t.data) else np.zeros(0, bool)
         begin = t.starts - spaced
-        keys = scan.mixed(t.word_hashes() + spaced.astype(np.uint64))
-        order = np.argsort(keys)
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[order[1:]] != keys[order[:-1]]
-        unit = np.empty(len(keys), np.int64)
-        unit[order] = np.cumsum(new) - 1
-        first = order[new]
+        first, unit = distinct(scan.mixed(t.word_hashes() + spaced.astype(np.uint64)))
         # words without a space of their own get a line break, whose id is dropped
         bare = ~spaced[first]
         parts = [b"\n" + data[a:b] if c else data[a:b] for a, b, c in zip(begin[first].tolist(), t.ends[first].tolist(), bare.tolist(), strict=True)]

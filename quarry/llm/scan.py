@@ -75,6 +75,7 @@ class Texts:
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
         self._wide: np.ndarray | None = None
         self._at: np.ndarray | None = None  # of characters
+        self._words: np.ndarray | None = None
         word = inside[data]
         first, last = word.copy(), word.copy()
         if len(word):
@@ -117,7 +118,9 @@ class Texts:
         return long, self.hashes(self.starts[long], self._at[self._from[long] + width])
 
     def word_hashes(self) -> np.ndarray:
-        return self.hashes(self.starts, self.ends)
+        if self._words is None:
+            self._words = self.hashes(self.starts, self.ends)
+        return self._words
 
     def characters(self) -> np.ndarray:
         """Characters before each byte, one entry more than bytes."""
