@@ -57,7 +57,7 @@ def _nodes(plan) -> Iterator:  # noqa: ANN001
         if kind == "ExplainCommand":
             rest.append(node.logicalPlan())
         for e in _expressions(node):
-            if hasattr(e, "plan") and _kind(e) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "InSubquery", "FunctionTableSubqueryArgumentExpression"):
+            if _kind(e) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
                 rest.append(e.plan())
 
 

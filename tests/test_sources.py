@@ -299,7 +299,7 @@ def test_commands(spark, filled, found):
         "DROP TABLE symbols", "INSERT INTO symbols VALUES (1)", "CREATE TABLE t AS SELECT 1", "SET x = 1", "CACHE TABLE symbols",
         "WITH t AS (SELECT 7 AS a) INSERT INTO kept SELECT * FROM t", "FROM symbols INSERT INTO kept SELECT 7 INSERT INTO kept SELECT 8", "EXPLAIN INSERT INTO kept VALUES (7)",
         "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT name FROM symbols WHERE name = (SELECT java_method('java.lang.System', 'lineSeparator'))",
-        "SELECT * FROM parquet.`/tmp`", "SELECT 1 WHERE EXISTS (SELECT * FROM parquet.`/tmp`)", "WITH x AS (SELECT * FROM kept) SELECT * FROM x", "SELECT * FROM spark_catalog.default.kept",
+        "SELECT * FROM parquet.`/tmp`", "SELECT 1 WHERE EXISTS (SELECT * FROM parquet.`/tmp`)", "SELECT name FROM symbols WHERE name IN (SELECT value FROM text.`/tmp`)", "WITH x AS (SELECT * FROM kept) SELECT * FROM x", "SELECT * FROM spark_catalog.default.kept",
     ],
 )
 def test_sql_only_reads(spark, bad):
@@ -318,6 +318,7 @@ def test_sql_reads_and_leaves_views_as_they_were(spark):
     assert run("SELECT (SELECT count(*) FROM other) AS n, s.name FROM symbols s JOIN LATERAL (SELECT s.n + 1 AS k) ORDER BY ALL")[1].n == 2
     assert len(run("SELECT * FROM range(3) UNION ALL SELECT n FROM symbols GROUP BY n HAVING n > 2")) == 4
     assert len(run("EXPLAIN SELECT name FROM symbols")) == 1
+    assert len(run("SELECT name FROM symbols WHERE n IN (SELECT max(n) FROM other) AND n NOT IN (SELECT 7)")) == 1
     assert spark.table("symbols").columns == ["a"] and not spark.catalog.tableExists("other")
     spark.catalog.dropTempView("symbols")
 
