@@ -210,13 +210,13 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 
     def verified(places: DataFrame, label: str) -> DataFrame:
         spread = stored(places, f"near-{label}-tiles")
-        wanted = texts.join(spread.select("id").distinct().hint("merge"), "id", "left_semi")  # ids grow with the documents: no size to broadcast
         tiles = spread.join(wanted, "id").select(*_TILE_KEY, "id", "text").repartition(*_TILE_KEY).sortWithinPartitions(*_TILE_KEY)
         return edges(tiles, threshold, width)
 
     keyed = classes.where("id IS NOT NULL").select("id", "h1", "h2", "words", F.posexplode("bands").alias("band", "key"))
     chosen = stored(distinct_buckets(keyed), "near-buckets")
     members = stored(keyed.drop("h1", "h2").join(chosen.hint("merge"), ["band", "key"]), "near-members")
+    wanted = stored(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "near-texts")  # ids grow with the documents: no size to broadcast
     linked = components(verified(star_tiles(members.where(F.col("band") < first), tile), "first"), "near-first")
     compared = (F.col("band") < first) & (_blocks("members", "all_words", tile) == 1)  # all pairs were
     placed = members.where(~compared).join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
