@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.operators import iterate, merge
+from quarry.plans.tables import spread
 from quarry.plans.tables import table as T
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -32,7 +33,7 @@ def _word(k: int):
 
 def _files(s, d) -> DataFrame:
     """One install root for each part: a package with an entry, a shapes file and a manifest, and a dependency."""
-    p = T(s, d, "part")
+    p = spread(T(s, d, "part"))
     root = F.concat(F.lit("/w"), F.col("p_partkey").cast("string"), F.lit("/node_modules/"))
     own, lib = F.concat(root, F.lit("pkg")), F.concat(root, F.lit("lib"))
     manifest = F.format_string('{"name": "pkg", "version": "%d.0.0", "types": "./index.d.ts", "dependencies": {"lib": "1", "%s": "*"}}', F.col("p_size"), F.lower("p_type"))

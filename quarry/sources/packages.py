@@ -10,9 +10,13 @@ import posixpath
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quarry.functions import fixed
 from quarry.operators.iterate import reached, stored
@@ -77,26 +81,56 @@ PARSED = (
 )
 
 
+#: Rows that a task hands on together.
+ROWS = 20_000
+
+
+def _in_turn(made: list[pa.RecordBatch], keys: list[str], name: str) -> pa.RecordBatch:
+    """The rows of each of ``made`` after each other, beside its key; the same one may stand there many times."""
+    distinct = {id(x): x for x in made}
+    starts = dict(zip(distinct, np.cumsum([0, *(x.num_rows for x in distinct.values())]).tolist(), strict=False))
+    sizes = np.array([x.num_rows for x in made])
+    rows = np.arange(sizes.sum()) + np.repeat(np.array([starts[id(x)] for x in made]) - (np.cumsum(sizes) - sizes), sizes)
+    out = pa.concat_batches(distinct.values()).take(pa.array(rows))
+    key = pa.array(keys, pa.string()).take(pa.array(np.repeat(np.arange(len(keys)), sizes)))
+    return pa.RecordBatch.from_arrays([key, *out.columns], [name, *out.schema.names])
+
+
 def parsed(found: DataFrame) -> DataFrame:
     """One row for each declaration and export clause of the declaration files among (path, text)."""
+    schema = to_arrow_schema(StructType.fromDDL(PARSED.removeprefix("path string, ")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quarry.sources import declarations
 
-        names = [c.split()[0] for c in PARSED.split(", ")]
-        for batch in batches:
-            rows = []
-            for path, text in zip(batch.path, batch.text, strict=True):
-                p = declarations.parse(text or "")
-                for k, e in enumerate(p.exports):
-                    rows.append([
-                        path, k, e.name, e.kind, fixed.KIND_CODES[e.kind], e.signature, e.js_doc, e.deprecated, e.visibility, e.since,
-                        [{"name": r.name, "import_path": r.import_path, "hint": r.hint} for r in e.references], e.heritage, e.modifiers, e.is_explicit, e.is_type_only, e.space,
-                        e.source, e.original_name, e.is_wildcard, e.is_namespace_export, e.is_global, e.enclosing, p.is_module, p.references,
-                    ])
-            yield pd.DataFrame(rows, columns=names)
+        def rows_of(text: str) -> pa.RecordBatch:
+            p = declarations.parse(text)
+            rows = [
+                (
+                    k, e.name, e.kind, fixed.KIND_CODES[e.kind], e.signature, e.js_doc, e.deprecated, e.visibility, e.since,
+                    [{"name": r.name, "import_path": r.import_path, "hint": r.hint} for r in e.references], e.heritage, e.modifiers, e.is_explicit, e.is_type_only, e.space,
+                    e.source, e.original_name, e.is_wildcard, e.is_namespace_export, e.is_global, e.enclosing, p.is_module, p.references,
+                )
+                for k, e in enumerate(p.exports)
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 
-    return found.where(F.col("path").rlike(r"\.d\.(ts|mts|cts)$")).select("path", "text").mapInPandas(run, PARSED)
+        for batch in batches:
+            seen: dict[str, pa.RecordBatch] = {}  # equal texts of a batch give equal rows
+            made, paths, n = [], [], 0
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (text := text or "") not in seen:
+                    seen[text] = rows_of(text)
+                made.append(seen[text])
+                paths.append(path)
+                n += made[-1].num_rows
+                if n >= ROWS:
+                    yield _in_turn(made, paths, "path")
+                    seen, made, paths, n = {}, [], [], 0
+            if made:
+                yield _in_turn(made, paths, "path")
+
+    return found.where(F.col("path").rlike(r"\.d\.(ts|mts|cts)$")).select("path", "text").mapInArrow(run, PARSED)
 
 
 def _wanted(found: DataFrame) -> DataFrame:
@@ -121,7 +155,7 @@ def _wanted(found: DataFrame) -> DataFrame:
 
     needs = found.where(F.col("path").rlike(r"\.d\.(ts|mts|cts)$")).mapInPandas(run, "package_dir string, name string, target string").distinct()
     known = found.select("package_dir").distinct().select(F.col("package_dir").alias("target"), _root(F.col("package_dir")).alias("root"), F.regexp_extract("package_dir", r"/node_modules/((?:@[^/]+/)?[^/]+)$", 1).alias("name"))
-    bare = needs.where("target = ''").select("package_dir", _root(F.col("package_dir")).alias("root"), "name").join(known, ["root", "name"])
+    bare = needs.where("target = ''").select("package_dir", _root(F.col("package_dir")).alias("root"), "name").hint("merge").join(known.hint("merge"), ["root", "name"])
     above = bare.where(F.col("package_dir").startswith(F.regexp_extract("target", r"^(.*)/node_modules/", 1))).select("package_dir", "target")
     return above.unionByName(needs.where("target <> ''").select("package_dir", "target")).where("package_dir <> target").distinct()
 

@@ -332,3 +332,36 @@ def test_output():
     assert good["ok"] and good["meta"]["cost"] == "light"
     assert api.envelope("find", lambda: [][0])["ok"] is False
     assert api.suggestions("find", 800, 0) == ["symbol", "evidence"] and api.suggestions("find", 10, 0) == []
+
+
+# --- size ----------------------------------------------------------------------------------
+
+
+def _copies(n):
+    texts = {"pkg/package.json": '{"name":"pkg","version":"1.0.0"}', "pkg/index.d.ts": "import { U } from 'lib';\nexport interface A { u: U }", "lib/package.json": '{"name":"lib"}', "lib/index.d.ts": "export type U = 1;"}
+    return [{f"/w{k}/node_modules/{p}": t for p, t in texts.items()} for k in range(n)]
+
+
+def test_small_texts_are_parsed_once_and_lists_are_the_callers_own(monkeypatch):
+    made, real = [], declarations._File
+    monkeypatch.setattr(declarations, "_File", lambda text: made.append(text) or real(text))
+    text = "export interface ParsedOnce { x: Y }\nimport { Y } from 'y';"
+    first = declarations.parse(text)
+    first.exports.clear()
+    first.imports.clear()
+    assert declarations.parse(text) == real(text).parse() and made == [text]
+    long = text + "\n" * declarations.KEPT
+    assert declarations.parse(long) == declarations.parse(long) and len(made) == 3
+
+
+def test_declarations_are_parsed_on_all_cores_whatever_the_files(spark, tmp_path):
+    from quarry.plans import ingest_queries
+
+    rows = [(k, f"red{'x' * (k % 3)} bolt", 7, "SMALL") for k in range(50)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = ingest_queries._files(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(tuple(r) for r in ingest_queries.QUERIES["s6_directives"](spark, str(tmp_path)).collect()) == [(k, ["./globals.d.ts"]) for k, *_ in rows]
+    # rows of many files, some equal, stay beside their own paths
+    plain = sorted((r.path, k, e.name) for r in found.where("path LIKE '%.d.ts'").collect() for k, e in enumerate(declarations.parse(r.text).exports))
+    assert sorted((r.path, r.seq, r.name) for r in packages.parsed(found).collect()) == plain
