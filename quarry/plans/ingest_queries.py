@@ -105,25 +105,13 @@ def s6_directives(s, d):
     UNION ALL SELECT p_partkey, p || 'make', 'FunctionDeclaration', false, p_size || '.1', list_sort([p || a, p || b, p || '__outside__/__up__/lib/index.d.ts::Unit']) FROM r""",
 )
 def package_graph(s, d):
-    return _with_root(s, d).select("p_partkey", "id", "kind", "is_inherited", "since", "dependencies")
-
-
-def _with_root(s, d) -> DataFrame:
-    """Public rows of each part's package, with the part: the graph is built once per install root."""
-    import pandas as pd
-
-    from quarry.sources import graph
-
-    files = _files(s, d).withColumn("p_partkey", _key("path"))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = int(pdf.p_partkey.iloc[0])
-        rows = graph.frame(graph.build(dict(zip(pdf.path, pdf.text, strict=True)), f"/w{key}/node_modules/pkg"))
-        rows.insert(0, "p_partkey", key)
-        return rows
+    """Public rows of each part's package: the graph is built once per install root."""
+    from quarry.sources import packages
 
-    built = files.groupBy("p_partkey").applyInPandas(build, "p_partkey long, " + graph.SYMBOLS)
-    return built.where("NOT is_internal")
+    files = _files(s, d)
+    root = F.concat(F.regexp_extract("path", "^(/w[0-9]+/node_modules/)", 1), F.lit("pkg"))
+    rows = packages.built(files.select(root.alias("root"), "path", "text")).where("NOT is_internal")
+    return rows.select(_key("package_dir").alias("p_partkey"), "id", "kind", "is_inherited", "since", "dependencies")
 
 
 @query("s4_packages_of_a_name", "SELECT p_partkey, '1.0.0' AS version FROM part")

@@ -183,3 +183,37 @@ def graphs(found: DataFrame, max_hops: int = 10, stubs: Sequence[str] = ()) -> D
         return graph.frame(graph.build(dict(zip(pdf.path, pdf.text, strict=True)), key[0], max_hops, stubs))
 
     return files_of.groupBy("root").applyInPandas(build, graph.SYMBOLS)
+
+
+def built(files_of: DataFrame, max_hops: int = 10, stubs: Sequence[str] = ()) -> DataFrame:
+    """The symbol graph, beside ``package_dir``, of each package folder ``root``, given all files (root, path, text) it may reach.
+
+    A task goes through its packages one after another; it holds the files of one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quarry.sources import graph
+
+        made, roots, n = [], [], 0
+        root, files = None, {}
+        for batch in batches:
+            for at, path, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if at != root:
+                    if root is not None:
+                        made.append(graph.table(files, root, max_hops, stubs))
+                        roots.append(root)
+                        n += made[-1].num_rows
+                    if n >= ROWS:
+                        yield _in_turn(made, roots, "package_dir")
+                        made, roots, n = [], [], 0
+                    root, files = at, {}
+                files[path] = text
+        if root is not None:
+            made.append(graph.table(files, root, max_hops, stubs))
+            roots.append(root)
+        if made:
+            yield _in_turn(made, roots, "package_dir")
+
+    from quarry.sources import graph
+
+    return files_of.select("root", "path", "text").repartition("root").sortWithinPartitions("root").mapInArrow(run, "package_dir string, " + graph.SYMBOLS)

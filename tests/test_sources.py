@@ -365,3 +365,28 @@ def test_declarations_are_parsed_on_all_cores_whatever_the_files(spark, tmp_path
     # rows of many files, some equal, stay beside their own paths
     plain = sorted((r.path, k, e.name) for r in found.where("path LIKE '%.d.ts'").collect() for k, e in enumerate(declarations.parse(r.text).exports))
     assert sorted((r.path, r.seq, r.name) for r in packages.parsed(found).collect()) == plain
+
+
+def test_copies_of_a_package_are_built_once(monkeypatch):
+    made, real = [], graph.build
+    monkeypatch.setattr(graph, "build", lambda *a: made.append(a[1]) or real(*a))
+    monkeypatch.setattr(graph, "_trees", graph.Kept(1 << 20))
+    trees = _copies(3)
+    for k, files in enumerate(trees):
+        assert graph.table(files, f"/w{k}/node_modules/pkg").to_pylist() == real(files, f"/w{k}/node_modules/pkg", 10, ())
+    assert made == ["/w0/node_modules/pkg"]
+    # other depth, other stubs, another text, the root's name in a text, a file outside of the root: each on its own
+    others = [(trees[1], 0, ()), (trees[1], 10, ("lib",))]
+    for more in ({"/w1/node_modules/pkg/index.d.ts": "export type A = 2;"}, {"/w1/node_modules/pkg/index.d.ts": "export * from '/w1/node_modules/lib/index';"}, {"/x/node_modules/y/index.d.ts": ""}):
+        others.append(({**trees[1], **more}, 10, ()))
+    for files, hops, stubs in others:
+        assert graph.table(files, "/w1/node_modules/pkg", hops, stubs).to_pylist() == real(files, "/w1/node_modules/pkg", hops, stubs)
+    assert len(made) == 1 + len(others)
+
+
+def test_kept_rows_are_bounded(monkeypatch):
+    kept = graph.Kept(5 * graph.EACH)
+    one = graph.table(_copies(1)[0], "/w0/node_modules/pkg").slice(0, 0)
+    for k in range(20):
+        kept.get(bytes([k]), lambda: one)
+    assert len(kept.made) <= 5 and kept.held <= kept.most
