@@ -165,24 +165,25 @@ def _root(path: Column) -> Column:
 
 
 def graphs(found: DataFrame, max_hops: int = 10, stubs: Sequence[str] = ()) -> DataFrame:
-    """The symbol graph of every installed package among (path, text): see ``graph.SYMBOLS``.
+    """The symbol graph of every installed package among (path, text): see ``graph.SYMBOLS``."""
+    return by_folder(found, max_hops, stubs).drop("package_dir")
+
+
+def by_folder(found: DataFrame, max_hops: int = 10, stubs: Sequence[str] = ()) -> DataFrame:
+    """``graphs`` beside the folder that each package is in, ``package_dir``.
 
     A package is a group of its own: its files and those of the packages that it may lead
     into, however an install root is laid out. Only the names of packages meet in a join.
+    Joins are by sorting: how large texts made by a plan are is not known to the planner, and
+    the driver must never hold them.
     """
-    from quarry.sources import graph
-
     owned = found.withColumn("package_dir", package_of(F.col("path"))).where("package_dir <> ''")
     leads = stored(_wanted(owned), "package-leads")
     every = owned.where(F.col("path") == F.concat("package_dir", F.lit("/package.json"))).select("package_dir").distinct()
     starts = every.select(F.col("package_dir").alias("node"))
     within = reached(starts, leads.select(F.col("package_dir").alias("src"), F.col("target").alias("dst")), max_hops + 1 if max_hops >= 0 else -1).select("root", F.col("node").alias("package_dir"))
-    files_of = within.join(owned.select("package_dir", "path", "text"), "package_dir").select("root", "path", "text")
-
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return graph.frame(graph.build(dict(zip(pdf.path, pdf.text, strict=True)), key[0], max_hops, stubs))
-
-    return files_of.groupBy("root").applyInPandas(build, graph.SYMBOLS)
+    files_of = within.hint("merge").join(owned.select("package_dir", "path", "text").hint("merge"), "package_dir").select("root", "path", "text")
+    return built(files_of, max_hops, stubs)
 
 
 def built(files_of: DataFrame, max_hops: int = 10, stubs: Sequence[str] = ()) -> DataFrame:

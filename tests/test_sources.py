@@ -390,3 +390,11 @@ def test_kept_rows_are_bounded(monkeypatch):
     for k in range(20):
         kept.get(bytes([k]), lambda: one)
     assert len(kept.made) <= 5 and kept.held <= kept.most
+
+
+def test_package_texts_are_never_broadcast(spark, tmp_path):
+    files = [f for tree in _copies(30) for f in tree.items()]
+    spark.createDataFrame(files, "path string, text string").write.parquet(f"{tmp_path}/files")  # its size is known, and small
+    out = packages.graphs(spark.read.parquet(f"{tmp_path}/files"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and out.where("package = 'pkg'").count() == 30 * 3
