@@ -154,6 +154,26 @@ def test_every_id_is_scored_once():
     assert np.allclose(alone, m.log_probabilities(texts), atol=1e-4)
 
 
+def test_scoring_takes_attention_weights_from_a_table(monkeypatch):
+    r = np.random.default_rng(5)
+    texts = [r.integers(0, 300, n) for n in (0, 1, 7, 24, 25, 60_000)]
+    c = attention.classes(texts, 300)
+    m = attention.Model(c)
+    for k in attention._NAMES:
+        setattr(m, k, getattr(m, k) + r.standard_normal(getattr(m, k).shape).astype(np.float32) * 0.1)
+    inputs, targets, _ = attention.windows(texts[:5] + [texts[5][:500]], c)
+    real = targets.ravel() >= 0
+    assert np.allclose(m.shown()(inputs)[real], m.forward(inputs)["shown"][real, : attention.WIDTH], atol=1e-4)
+    sizes, real = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **b: sizes.append(np.size(x)) or real(x, *a, **b))
+    out = m.each(texts)
+    assert np.isfinite(out).all()
+    table = (c.n_inputs + 1) ** 2 + attention.STRIDE * attention.WINDOW
+    assert sum(sizes) - table <= len(out) * (attention.CLASSES + attention.SLOTS + 1)  # those of the output alone
+    m.query *= 1000  # far apart: the weights stay finite
+    assert np.isfinite(m.each(texts[:5])).all()
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
 
