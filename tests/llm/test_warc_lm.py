@@ -117,6 +117,17 @@ def test_gradients():
         assert g[k][at] == pytest.approx((up - down) / 2e-3, rel=2e-2, abs=1e-5)
 
 
+def test_gradients_stay_finite():
+    texts = [np.array([1, 2, 3, 4, 5, 6, 7] * 20), np.zeros(0, np.int64)]
+    for scale in (1e3, -1e3):
+        m = attention.Model(attention.classes(texts, 50))
+        m.top += np.float32(scale)
+        m.leaf[:, ::2] += np.float32(scale)
+        m.query *= np.float32(scale)
+        loss, g = m.gradients(*attention.windows(texts, m.classes)[:2])
+        assert math.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+
+
 def test_probabilities_sum_to_one_and_are_causal():
     r = np.random.default_rng(0)
     c = attention.classes([r.integers(0, 300, 5000)], 300)
@@ -248,6 +259,64 @@ def test_counts_cover_all_training_ids_however_dealt_out(spark):
     assert got.sum() == len(row) and all(got[k] == n for k, n in follow.items())
 
 
+def _numbers(m):
+    return np.concatenate([getattr(m, k).ravel() for k in attention._NAMES]).astype(float)
+
+
+def test_layers_learn_from_texts_outside_the_sample(spark, monkeypatch):
+    begun, real = [], attention.trained
+
+    def trained(texts, c):
+        begun.append((len(texts), real(texts, c, steps=20), real(texts, c, steps=20)))
+        return begun[-1][1]
+
+    monkeypatch.setattr(attention, "trained", trained)
+    rows = [(i, words(i % 7, 150, 60)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lm_scoring.scored(docs, F.col("doc_id") < 70, tokenizer_file(), rows=3).count()
+    encode = lm_scoring.Encoder(tokenizer_file())
+    (n, model, begin), all_ids = begun[0], [encode(t) for _, t in rows]
+    assert n == 3 and not np.array_equal(_numbers(model), _numbers(begin))
+    assert model.log_probabilities(all_ids[:70]).sum() > begin.log_probabilities(all_ids[:70]).sum()
+
+
+def test_layers_are_the_mean_of_passes_through_all_ids_however_dealt_out(spark):
+    texts = [words(i % 9, 60 + i, 80) for i in range(50)] + ["", None]
+    own, ids, vocabulary = _ids_of(spark, texts)
+    c, kind = lm_scoring.classes_of(ids, vocabulary), lm_scoring._kind(vocabulary + 1)
+    rows = spark.createDataFrame([(k, x.astype(kind).tobytes()) for k, x in enumerate(own)], "doc_id long, ids binary")
+    n = sum(len(x) + 1 for x in own)
+    found = []
+    for shard_ids, parts in ((n // 9, 1), (n // 9, 7)):  # ten shards in four rounds
+        m = attention.Model(c)
+        lm_scoring.learn(rows.repartition(parts), m, kind, shard_ids)
+        found.append(_numbers(m))
+    assert np.allclose(*found, rtol=0, atol=1e-6)
+    hashes = [r[0] for r in rows.select(F.xxhash64("doc_id", "ids")).collect()]
+    shards = -(-n // (n // 9))
+    m, seen = attention.Model(c), 0
+    for k in range(lm_scoring.ROUNDS):
+        start, moves, sizes = _numbers(m), [], []
+        for shard in range(k, shards, lm_scoring.ROUNDS):
+            held = [own[i] for i in sorted(range(len(own)), key=hashes.__getitem__) if hashes[i] % shards == shard]
+            parts = [[]]
+            for x in held:
+                if sum(len(y) + 1 for y in parts[-1]) >= 2 * (n // 9):
+                    parts.append([])
+                parts[-1].append(x)
+            for part in filter(None, parts):
+                m.put(start)
+                attention.passed(m, part)
+                moves.append(_numbers(m) - start)
+                sizes.append(sum(len(x) + 1 for x in part))
+        m.put(start + (np.average(moves, 0, sizes) if sizes else 0))
+        seen += sum(sizes)
+    assert seen == n and np.allclose(_numbers(m), found[0], rtol=0, atol=1e-5)
+    none = attention.Model(c)
+    lm_scoring.learn(rows.where("false"), none, kind)
+    assert np.array_equal(_numbers(none), _numbers(attention.Model(c)))
+
+
 def test_cuts_and_hashes_follow_the_ids_alone():
     r = np.random.default_rng(3)
     passage = r.integers(0, 5000, 400)
