@@ -128,6 +128,35 @@ def test_gradients_stay_finite():
         assert math.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
 
 
+class _Watched(np.ndarray):
+    """Notes the rows of what is multiplied with it."""
+
+    seen: list[int] = []
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
+        if ufunc is np.matmul:
+            self.seen.append(max(len(np.asarray(x)) for x in inputs))
+        if "out" in kwargs:
+            kwargs["out"] = tuple(np.asarray(x) for x in kwargs["out"])
+        return getattr(ufunc, method)(*map(np.asarray, inputs), **kwargs)
+
+
+def test_gradients_pass_each_input_through_its_layers_once():
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, 300, n) for n in (5000, 40, 0)]
+    m = attention.Model(attention.classes(texts, 300))
+    m.top, m.leaf = (r.normal(size=x.shape).astype(np.float32) for x in (m.top, m.leaf))
+    inputs, targets, _ = attention.windows(texts, m.classes)
+    loss, g = m.gradients(inputs, targets)
+    for k in ("query", "key", "value", "out", "shift"):
+        setattr(m, k, getattr(m, k).view(_Watched))
+    _Watched.seen.clear()
+    watched, same = m.gradients(inputs, targets)
+    assert _Watched.seen and max(_Watched.seen) <= len(m.embed) < targets.size
+    assert watched == pytest.approx(loss) and all(np.allclose(g[k], same[k], atol=1e-6) for k in g)
+    assert loss == pytest.approx(-m.each(texts).mean() + m.classes.within[targets[targets >= 0]].mean(), rel=1e-4)
+
+
 def test_probabilities_sum_to_one_and_are_causal():
     r = np.random.default_rng(0)
     c = attention.classes([r.integers(0, 300, 5000)], 300)
